@@ -84,16 +84,23 @@ class ChunkTable:
             yield list(map(get, cs))
 
 
+def arrow_schema(schema: str):
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return to_arrow_schema(StructType.fromDDL(schema))
+
+
 def arrow_rows(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     """``df.mapInArrow`` where ``run(batch)`` gives the columns of the rows made of one batch."""
+    kinds = arrow_schema(schema)
 
     def each(batches):
         import pyarrow as pa
 
         for b in batches:
             if b.num_rows:
-                cols = run(b)
-                yield pa.RecordBatch.from_pydict(cols)
+                yield pa.RecordBatch.from_pydict(run(b), schema=kinds)
 
     return df.mapInArrow(each, schema)
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import sentencepiece_codec
+from . import packing, sentencepiece_codec, sharding, sstable
 
 
 def queries() -> dict:
     return {
         "op3_sentencepiece": sentencepiece_codec.query,
+        "op4_best_fit_packing": packing.query,
+        "op5_sstable": sstable.query,
+        "op8_jump_sharding": sharding.query,
     }
 
 
