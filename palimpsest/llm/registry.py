@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from . import packing, sentencepiece_codec, sharding, sstable
+from . import gif_media, line_dedup, packing, quality, sentencepiece_codec, sharding, sstable, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_toxicity": toxicity.query,
         "op3_sentencepiece": sentencepiece_codec.query,
         "op4_best_fit_packing": packing.query,
         "op5_sstable": sstable.query,
+        "op7_quality": quality.query,
         "op8_jump_sharding": sharding.query,
+        "op9_line_windows": line_dedup.query,
+        "op10_gif": gif_media.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op9_line_windows": line_dedup.SQL,
+    }
