@@ -61,27 +61,50 @@ SLICE_CHARS = 4_000_000
 ODD_SPACE = re.compile("[" + "".join(map(chr, [*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])) + "]")
 
 
+class _Known(dict):
+    """Values by chunk. Chunks it lacks come from the generation before, or are noted as missing."""
+
+    def __init__(self, before: dict):
+        self.before, self.missing = before, set()
+
+    def __missing__(self, chunk: str):
+        value = self.before.get(chunk)
+        if value is None:
+            self.missing.add(chunk)
+        else:
+            self[chunk] = value
+        return value
+
+
 class ChunkTable:
     """Distinct-chunk table of one task: each distinct chunk is encoded once, and results are put
-    together by position. It holds at most ``limit`` chunks besides those of the texts in hand and
-    starts anew beyond that, so memory is bounded whatever the vocabulary; results don't depend on it.
+    together by position. It holds two generations of at most ``limit`` chunks, besides those of the
+    texts in hand: beyond that the older one goes, so memory is bounded whatever the vocabulary, and
+    chunks in use stay. Results don't depend on the limit. Values are never None.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], list], limit: int = 400_000):
-        self.encode_many, self.limit, self.known = encode_many, limit, {}
+    def __init__(self, encode_many: Callable[[list[str]], list], limit: int = 300_000):
+        self.encode_many, self.limit, self.known = encode_many, limit, _Known({})
 
     def values(self, chunks: Iterable[list[str]]) -> Iterator[list]:
-        chunks = list(chunks)
         known = self.known
-        new = list({c for cs in chunks for c in cs if c not in known})
-        if len(known) + len(new) > self.limit:
-            known.clear()
-            new = list({c for cs in chunks for c in cs})
-        if new:
+        found = [(cs, list(map(known.__getitem__, cs))) for cs in chunks]
+        if known.missing:
+            new = list(known.missing)
+            known.missing.clear()
             known.update(zip(new, self.encode_many(new), strict=True))
-        get = known.__getitem__
-        for cs in chunks:
-            yield list(map(get, cs))
+        for cs, vs in found:
+            at = -1
+            while None in vs:
+                try:
+                    while True:
+                        at = vs.index(None, at + 1)
+                        vs[at] = known[cs[at]]
+                except ValueError:
+                    break
+            yield vs
+        if len(known) > self.limit:
+            self.known = _Known(dict(known))
 
 
 def arrow_schema(schema: str):
@@ -158,7 +181,7 @@ class IdEncoder:
     def __init__(self, path: str, spaces: bool):
         self.tok, self.spaces = tokenizer(path), spaces
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.table = ChunkTable(self._encode, 600_000)
+        self.table = ChunkTable(self._encode)
 
     def _encode(self, chunks: list[str]) -> list[bytes]:
         out: list[bytes] = []
