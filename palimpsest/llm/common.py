@@ -149,6 +149,12 @@ def once(key, load: Callable):
         _loaded[key] = load()
     return _loaded[key]
 
+def latest(slot: str, key, load: Callable):
+    """Per worker process, as ``once``, but one value a slot: another key takes its place."""
+    if slot not in _loaded or _loaded[slot][0] != key:
+        _loaded[slot] = (key, load())
+    return _loaded[slot][1]
+
 
 def tokenizer(path: str):
     def load():

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import gif_media, line_dedup, packing, quality, sentencepiece_codec, sharding, sstable, toxicity
+from . import embedding_dedup, gif_media, line_dedup, near_dedup, packing, quality, sentencepiece_codec, sharding, sstable, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_toxicity": toxicity.query,
+        "op2_near_dedup": near_dedup.query,
         "op3_sentencepiece": sentencepiece_codec.query,
         "op4_best_fit_packing": packing.query,
         "op5_sstable": sstable.query,
+        "op6_vector_graph": embedding_dedup.query,
         "op7_quality": quality.query,
         "op8_jump_sharding": sharding.query,
         "op9_line_windows": line_dedup.query,

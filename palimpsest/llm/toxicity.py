@@ -31,7 +31,7 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, once, table
+from .common import arrow_rows, latest, table
 
 MAX_TRAINING_DOCS = 20_000
 MAX_NODES = 50_000
@@ -214,7 +214,7 @@ def lexicon(counts: dict[str, tuple[int, int]], rate: float) -> dict[str, float]
 
 
 def _scorer(model_json: str) -> Scorer:
-    return once(("toxicity", hash(model_json), len(model_json)), lambda: Scorer(Model(**json.loads(model_json))))
+    return latest("toxicity", model_json, lambda: Scorer(Model(**json.loads(model_json))))
 
 
 def calibrate(rows: DataFrame, model: Model) -> Model:
