@@ -1,0 +1,3 @@
+from .event_log import EventLog
+
+__all__ = ["EventLog"]
