@@ -25,46 +25,64 @@ from pyspark.sql import functions as F
 from .common import fresh, materialize, table
 
 WINDOW = 3
+#: White space that doesn't count at the ends of a line.
+BLANK = " \t\r\x0b\x0c"
 SALTS = 16
 
 
-def _windows(text: Column) -> Column:
-    """array<struct<at: the lines' positions, w1, w2: hash>> of a text's windows."""
-    lines = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("i"), F.trim(F.regexp_replace(x, r"[\s]+", " ")).alias("t")))
+def _once(c: Column) -> Column:
+    """A generator of one row: what stands above it reads the value, and doesn't compute it anew for
+    each element of an array."""
+    return F.explode(F.array(c))
+
+
+def _solid(text: Column) -> Column:
+    """array<struct<i, h1, h2>>: position and two hashes of each line that isn't blank."""
+    bare = lambda x: F.btrim(x, F.lit(BLANK))
+    lines = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("i"), bare(x).alias("t")))
     solid = F.filter(lines, lambda x: F.length(x["t"]) > 0)
+    return F.transform(solid, lambda x: F.struct(x["i"].alias("i"), F.xxhash64(x["t"]).alias("h1"), F.xxhash64(F.lit(WINDOW), x["t"]).alias("h2")))
 
-    def window(_: Column, i: Column) -> Column:
-        part = [F.element_at(solid, i + F.lit(k + 1)) for k in range(WINDOW)]
-        texts = [p["t"] for p in part]
-        return F.struct(F.array(*[p["i"] for p in part]).alias("at"), F.xxhash64(*texts).alias("w1"), F.xxhash64(F.lit(WINDOW), *reversed(texts)).alias("w2"))
 
-    return F.when(F.size(solid) >= WINDOW, F.transform(F.slice(solid, F.lit(1), F.size(solid) - F.lit(WINDOW - 1)), window))
+def _windows(solid: Column) -> Column:
+    """array<struct<at, w1, w2>>: the lines' positions and the hash of each window."""
+    n = F.size(solid) - F.lit(WINDOW - 1)
+    parts = [F.slice(solid, F.lit(k + 1), n).alias(f"l{k}") for k in range(WINDOW)]
+    pick = lambda w, f: [w[f"l{k}"][f] for k in range(WINDOW)]
+    one = lambda w: F.struct(F.array(*pick(w, "i")).alias("at"), F.xxhash64(*pick(w, "h1")).alias("w1"), F.xxhash64(*pick(w, "h2")).alias("w2"))
+    return F.when(n > 0, F.transform(F.arrays_zip(*parts), one))
 
 
 def covered(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, h, gone): by document, in order, the positions of the lines that repeat earlier ones."""
+    """(doc, h, gone): by document, the positions of the lines that repeat earlier ones."""
     spark = docs.sparkSession
-    kept = docs.select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
-    rows = kept.select("doc", "h", F.explode(_windows(F.col("text"))).alias("w")).select("doc", "h", F.col("w.at").alias("at"), F.col("w.w1").alias("w1"), F.col("w.w2").alias("w2"))
-    rows = materialize(spark, rows.select("doc", "h", "at", "w1", "w2"), "windows")
+    solid = docs.select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(text).alias("h"), _once(_solid(F.col(text))).alias("solid"))
+    rows = solid.select("doc", "h", F.explode(_windows(F.col("solid"))).alias("w")).select("doc", "h", F.col("w.at").alias("at"), F.col("w.w1").alias("w1"), F.col("w.w2").alias("w2"))
+    rows = materialize(spark, rows, "windows")
     place = F.struct(F.col("doc"), F.col("h"), F.col("at")[0].alias("i"))
     seen = rows.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     seen = materialize(spark, seen.filter(~F.col("first").eqNullSafe(F.col("last"))).select("w1", "w2", "first"), "repeats")
     parts = seen.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc", "h", F.col("at")[0]), F.lit(SALTS)).cast("int"))
     later = salted.join(parts, ["w1", "w2", "salt"]).filter(~place.eqNullSafe(F.col("first")))
-    # a document's positions come as partial sets: windows overlap, so each position is met up to 3 times
+    # windows overlap: each position is met up to WINDOW times
     return later.groupBy("doc", "h").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("at")))).alias("gone"))
 
 
+def _left(lines: Column, gone: Column) -> Column:
+    """The lines but those at the positions ``gone``, as text."""
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - F.lit(1)), gone)
+    return F.array_join(F.transform(kept, lambda p: F.element_at(lines, p + F.lit(1))), "\n")
+
+
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the lines that repeat earlier passages taken out of ``text``."""
     gone = materialize(docs.sparkSession, covered(docs, doc_id, text), "covered")
-    d, h, g = fresh(docs, "__doc", "__hash", "__gone")
+    d, h, g, s = fresh(docs, "__doc", "__hash", "__gone", "__lines")
     gone = gone.select(F.col("doc").alias(d), F.col("h").alias(h), F.col("gone").alias(g))
     joined = docs.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col(d)) & (F.xxhash64(text) == F.col(h)), "left")
-    lines = F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains(F.col(g), i))
-    left = F.when(F.col(g).isNull(), F.col(text)).otherwise(F.array_join(lines, "\n"))
+    joined = joined.select(*docs.columns, g, _once(F.when(F.col(g).isNotNull(), F.split(F.col(text), "\n"))).alias(s))
+    left = F.when(F.col(g).isNull(), F.col(text)).otherwise(_left(F.col(s), F.col(g)))
     return joined.select(*[left.alias(c) if c == text else F.col(c) for c in docs.columns])
 
 
@@ -72,9 +90,9 @@ def digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed, removed (positions, joined by commas), text_md5 of every document."""
     cut = materialize(docs.sparkSession, covered(docs), "covered").select(F.col("doc").alias("d"), "h", "gone")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(cut, F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("h")), "left")
-    lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    left = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n"))
-    return rows.select("doc_id", F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join(F.col("gone").cast("array<string>"), ","), F.lit("")).alias("removed"), F.md5(F.coalesce(left, F.lit("")).cast("binary")).alias("text_md5"))
+    rows = rows.select("doc_id", "text", "gone", _once(F.split(F.coalesce("text", F.lit("")), "\n")).alias("lines"))
+    left = F.when(F.col("gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(_left(F.col("lines"), F.col("gone")))
+    return rows.select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join(F.col("gone").cast("array<string>"), ","), F.lit("")).alias("removed"), F.md5(left.cast("binary")).alias("text_md5"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,9 +104,9 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 #: Documents with an id each, as the table has them.
-SQL = r"""
+SQL = """
 WITH lines AS (
-    SELECT doc_id, i - 1 AS i, trim(regexp_replace(part[i], '\s+', ' ', 'g')) AS t
+    SELECT doc_id, i - 1 AS i, trim(part[i], ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS t
     FROM (SELECT doc_id, string_split(text, chr(10)) AS part, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL)
 ), solid AS (
     SELECT doc_id, i AS i0, lead(i, 1) OVER w AS i1, lead(i, 2) OVER w AS i2, t AS t0, lead(t, 1) OVER w AS t1, lead(t, 2) OVER w AS t2
