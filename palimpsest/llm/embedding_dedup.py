@@ -75,8 +75,14 @@ def prune(v, node: int, pool, limit: int = DEGREE):
     return kept
 
 
-def build_graph(v) -> list[list[int]]:
-    """Adjacency lists of one shard."""
+def reach_of(threshold: float) -> float:
+    """The cosine of twice the threshold's angle: what two vectors in range of a third have at least."""
+    return 2 * threshold * threshold - 1 - 1e-9
+
+
+def build_graph(v, threshold: float = THRESHOLD) -> list[list[int]]:
+    """Adjacency lists of one shard. Reverse edges within reach are kept beyond the degree: who finds
+    its neighbours is found by them."""
     import numpy as np
 
     n = len(v)
@@ -97,17 +103,23 @@ def build_graph(v) -> list[list[int]]:
     for node, edges in enumerate(lists):
         for e in edges:
             back[e].append(node)
+    grown: list[list[int]] = []
     for node in range(n):
         both = np.unique(np.array(lists[node] + back[node], dtype=np.int64))
-        lists[node] = both.tolist() if len(both) <= DEGREE else prune(v, node, both)
-    return lists
+        if len(both) <= DEGREE:
+            grown.append(both.tolist())
+            continue
+        into = np.array(back[node], dtype=np.int64)
+        near = into[v[into] @ v[node] >= reach_of(threshold)].tolist() if len(into) else []
+        grown.append(sorted({*prune(v, node, both), *near}))
+    return grown
 
 
 def search(v, lists: list, medoid: int, q: int, threshold: float):
     """Nodes in range of node ``q`` (without it), by greedy search and range expansion."""
     import numpy as np
 
-    reach = 2 * threshold * threshold - 1 - 1e-9  # the cosine of twice the threshold's angle
+    reach = reach_of(threshold)
     target = v[q]
     seen = {medoid}
     beam = [(float(v[medoid] @ target), medoid)]
@@ -204,7 +216,7 @@ def find_links(nodes: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFram
 
         pdf = pdf.sort_values("mark", kind="stable")
         marks = pdf["mark"].to_numpy()
-        lists = build_graph(unit(pdf["embedding"]))
+        lists = build_graph(unit(pdf["embedding"]), threshold)
         return pd.DataFrame({"mark": marks, "edges": [marks[x].tolist() for x in lists]})
 
     shards = ["label", "dim", "shard"]
@@ -238,7 +250,9 @@ def find_links(nodes: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFram
                 a, b = top(q), top(h)
                 root[max(a, b)] = min(a, b)
         forest = [(marks[top(i)], marks[i]) for i in range(len(marks)) if top(i) != i]
-        return pd.DataFrame({"a": out_marks + [a for a, _ in forest], "b": [None] * len(out_marks) + [b for _, b in forest], "linked": linked + [None] * len(forest)}).astype({"a": "int64", "b": "Int64", "linked": "Int64"})
+        # whole numbers all through: a column of numbers and gaps would become one of floats
+        b = pd.array([None] * len(out_marks) + [b for _, b in forest], dtype="Int64")
+        return pd.DataFrame({"a": np.array(out_marks + [a for a, _ in forest], dtype=np.int64), "b": b, "linked": pd.array(linked + [None] * len(forest), dtype="Int64")})
 
     grown = held.join(united, "mark", "left").select(*shards, "mark", "embedding", "n", "home", "edges").groupBy(*shards).applyInPandas(find, "a long, b long, linked long")
     grown = materialize(spark, grown, "searched")
