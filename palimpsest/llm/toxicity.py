@@ -37,8 +37,11 @@ MAX_TRAINING_DOCS = 20_000
 MAX_NODES = 50_000
 PREFIXES = (3, 4, 5, 6)
 STRENGTH = 2.0
-DRIFT = 0.35
+DRIFT = 0.8
 CLIP = 6.0
+#: Standard errors between a node's rate and that of all documents: so few by chance among all words
+#: that those hardly matter.
+FAR = 4.5
 #: A passage counts if chance gives fewer than this many in a document.
 SIGNIFICANT = 0.05
 THRESHOLD = 0.7
@@ -190,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", may_learn: Col
     rate = t_all / (t_all + c_all)
     n = F.col("t") + F.col("c")
     far = F.abs(F.col("t") - n * rate) / F.sqrt(n * rate * (1 - rate))
-    kept = {r.node: (int(r.t), int(r.c)) for r in counts.filter("node != ''").withColumn("far", far).filter("far > 3 and t >= 2 or far > 2 and t + c >= 5").orderBy(F.desc("far"), "node").limit(MAX_NODES).collect()}
+    kept = {r.node: (int(r.t), int(r.c)) for r in counts.filter("node != ''").withColumn("far", far).filter((F.col("far") > F.lit(FAR)) & (F.col("t") >= 2)).orderBy(F.desc("far"), "node").limit(MAX_NODES).collect()}
     model.scores = lexicon(kept, rate)
     return calibrate(rows, model)
 
@@ -281,8 +284,7 @@ def _lambda(s, p) -> float:
 
 
 def logistic(x, y, ridge: float = 1e-2, steps: int = 60):
-    """Weights of a logistic regression by Newton's method; weights of evidence aren't below 0 for long
-    inputs because the ridge holds them."""
+    """Weights of a logistic regression with a ridge, by Newton's method."""
     import numpy as np
 
     w = np.zeros(x.shape[1])
