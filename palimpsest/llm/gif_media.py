@@ -216,6 +216,8 @@ def _interlaced(rows: bytes, width: int, height: int) -> bytes:
 def decode(file: bytes) -> Image:
     if file[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("no GIF signature")
+    if len(file) < 14:
+        raise ValueError("the file ends early")
     width, height, flags, background, _ = struct.unpack_from("<HHBBB", file, 6)
     at = 13
     palette = b""
