@@ -291,16 +291,18 @@ def audit(vectors: DataFrame, found: DataFrame, threshold: float = THRESHOLD, ev
     asked = good.filter(F.col("vec_id") % F.lit(every) == 0).toPandas()
     if not len(asked):
         return 1.0
-    q, ids, labels = unit(asked["embedding"]), asked["vec_id"].to_numpy(), asked["label"].to_numpy()
+    by_dim = {k: (unit(g["embedding"]), g["vec_id"].to_numpy(), g["label"].to_numpy()) for k, g in asked.groupby(asked["embedding"].map(len))}
 
     def run(batches):
         import pandas as pd
 
         for b in batches:
             for i in range(0, len(b), 1024):
-                part = b.iloc[i : i + 1024]
-                hit = (unit(part["embedding"]) @ q.T >= threshold) & (part["label"].to_numpy()[:, None] == labels[None]) & (part["vec_id"].to_numpy()[:, None] != ids[None])
-                yield pd.DataFrame({"vec_id": ids, "there": hit.sum(axis=0).astype(np.int64)})
+                for dim, part in b.iloc[i : i + 1024].groupby(b["embedding"].map(len)):
+                    if dim in by_dim:
+                        q, ids, labels = by_dim[dim]
+                        hit = (unit(part["embedding"]) @ q.T >= threshold) & (part["label"].to_numpy()[:, None] == labels[None]) & (part["vec_id"].to_numpy()[:, None] != ids[None])
+                        yield pd.DataFrame({"vec_id": ids, "there": hit.sum(axis=0).astype(np.int64)})
 
     truth = good.mapInPandas(run, "vec_id long, there long").groupBy("vec_id").agg(F.sum("there").alias("there"))
     both = truth.join(found.select("vec_id", "n_links"), "vec_id").agg(F.sum("there").alias("t"), F.sum(F.least("there", "n_links")).alias("f")).first()

@@ -11,7 +11,8 @@ SF = "/root/testdata/sf0.01"
 
 
 def maximal(scores):
-    """All maximal scoring segments by their definition: recursively the best one, leftmost and shortest."""
+    """All maximal scoring segments by their definition: the best one, then those on both sides of it. Of
+    equal sums the shorter one: a maximal segment has no part of the same sum."""
 
     def solve(a, b):
         best = None
@@ -19,7 +20,7 @@ def maximal(scores):
             total = 0.0
             for j in range(i, b):
                 total += scores[j]
-                if total > 1e-12 and (best is None or total > best[2] + 1e-12):
+                if total > 1e-9 and (best is None or total > best[2] + 1e-9 or total > best[2] - 1e-9 and j - i < best[1] - best[0]):
                     best = (i, j, total)
         if best is None:
             return []
