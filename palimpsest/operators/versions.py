@@ -77,20 +77,20 @@ def valid_when(log: DataFrame, asked: DataFrame) -> DataFrame:
     """For each row of ``asked`` (collection, key, at) the version valid at ``at``, null where none is.
 
     A point-in-time lookup for many rows at once: both sides go through one sort per key. A key's rows
-    are spread over months of valid time; each month starts from the last version before it, so no
-    task holds all events of a hot key."""
+    are spread over days of valid time; each day starts from the last version before it, so no task
+    holds all events of a hot key."""
     # what each version and question is, in one order: versions before questions of the same time
-    versions = log.select("collection", "key", F.trunc("valid_from", "month").alias("month"), F.col("valid_from").alias("at"), F.coalesce("valid_from_ns", F.lit(0)).cast("int").alias("ns"), "seq", F.lit(0).alias("kind"), F.struct("seq", "op", "value", "valid_from", "tx_time").alias("version"), F.lit(None).cast("long").alias("row"))
+    versions = log.select("collection", "key", F.col("valid_from").cast("date").alias("day"), F.col("valid_from").alias("at"), F.coalesce("valid_from_ns", F.lit(0)).cast("int").alias("ns"), "seq", F.lit(0).alias("kind"), F.struct("seq", "op", "value", "valid_from", "tx_time").alias("version"), F.lit(None).cast("long").alias("row"))
     numbered = asked.withColumn("row", F.monotonically_increasing_id())
-    questions = numbered.select("collection", "key", F.trunc("at", "month").alias("month"), "at", F.lit(999).alias("ns"), F.lit(None).cast("long").alias("seq"), F.lit(1).alias("kind"), F.lit(None).cast(versions.schema["version"].dataType).alias("version"), "row")
-    # the last version of each month, carried to the months of the key that follow
-    last = versions.groupBy("collection", "key", "month").agg(F.max_by("version", F.struct("at", "ns", "seq")).alias("version"))
-    months = last.select("collection", "key", "month", "version").unionByName(questions.select("collection", "key", "month").distinct(), allowMissingColumns=True)
-    months = months.groupBy("collection", "key", "month").agg(F.max("version").alias("version"))
-    w = Window.partitionBy("collection", "key").orderBy("month").rowsBetween(Window.unboundedPreceding, -1)
-    carried = months.withColumn("version", F.last("version", ignorenulls=True).over(w)).filter("version is not null")
-    start = carried.select("collection", "key", "month", F.lit("0001-01-01").cast("timestamp_ntz").alias("at"), F.lit(0).alias("ns"), F.lit(-1).cast("long").alias("seq"), F.lit(0).alias("kind"), "version", F.lit(None).cast("long").alias("row"))
-    w = Window.partitionBy("collection", "key", "month").orderBy("at", "ns", "kind", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    questions = numbered.select("collection", "key", F.col("at").cast("date").alias("day"), "at", F.lit(999).alias("ns"), F.lit(None).cast("long").alias("seq"), F.lit(1).alias("kind"), F.lit(None).cast(versions.schema["version"].dataType).alias("version"), "row")
+    # the last version of each day, carried to the days of the key that follow
+    last = versions.groupBy("collection", "key", "day").agg(F.max_by("version", F.struct("at", "ns", "seq")).alias("version"))
+    days = last.select("collection", "key", "day", "version").unionByName(questions.select("collection", "key", "day").distinct(), allowMissingColumns=True)
+    days = days.groupBy("collection", "key", "day").agg(F.max("version").alias("version"))
+    w = Window.partitionBy("collection", "key").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    carried = days.withColumn("version", F.last("version", ignorenulls=True).over(w)).filter("version is not null")
+    start = carried.select("collection", "key", "day", F.lit("0001-01-01").cast("timestamp_ntz").alias("at"), F.lit(0).alias("ns"), F.lit(-1).cast("long").alias("seq"), F.lit(0).alias("kind"), "version", F.lit(None).cast("long").alias("row"))
+    w = Window.partitionBy("collection", "key", "day").orderBy("at", "ns", "kind", "seq").rowsBetween(Window.unboundedPreceding, 0)
     found = versions.unionByName(questions).unionByName(start).withColumn("version", F.last("version", ignorenulls=True).over(w)).filter("row is not null")
     there = F.col("version.op") != DELETE
     return found.select("collection", "key", "at", *[F.when(there, F.col(f"version.{c}")).alias(c) for c in ("value", "valid_from", "seq")])
