@@ -30,13 +30,14 @@ def get(log: DataFrame, collection: str, key: str, as_of=None, base: DataFrame |
 
 
 def find(log: DataFrame, collection: str, where: Iterable = (), as_of=None, order_by: str | None = None, desc: bool = False, limit: int | None = None, offset: int | None = None, base: DataFrame | None = None) -> DataFrame:
-    """The documents of a collection that meet all conditions."""
+    """The documents of a collection that meet all conditions. Without an order a page is one of keys in
+    order, and a whole result is in no order: sorting it would be a shuffle for nothing."""
     one = lambda df: df.filter(F.col("collection") == collection)
     mode = D.LIVE if as_of is None else D.REPLAY
     rows = versions.live(one(log), None if base is None else one(base)) if as_of is None else versions.visible(one(log), valid_at=as_of)
     rows = rows.filter(D.matches(F.col("value"), where, mode)).select(*ROW)
     if order_by is not None:
         rows = rows.orderBy(*D.order(F.col("value"), order_by, desc, mode), F.col("key"))
-    elif as_of is not None or limit or offset:
+    elif limit or offset:
         rows = rows.orderBy("key")
     return page(rows, limit, offset)
