@@ -7,8 +7,8 @@ positions of a document are merged and taken out. Blank lines are no part of win
 
 Windows are counted by partial aggregation, so a passage that stands in a third of all documents meets
 in one small row per task. Windows that stand once go no further. The rest are joined back in SALTS
-parts, as one window may be in very many documents; texts are shuffled once at most, to meet the
-positions to take out.
+parts, as one window may be in very many documents; texts are shuffled once, to meet the positions to
+take out. Both joins are sort-merge joins at any size, so needs grow in proportion to the input.
 
 Defined results: a document is its id and its text, so rows that repeat both are one document and get
 the same text; the earliest is that of the smallest id (null first), then of the smallest hash of the
@@ -64,7 +64,7 @@ def covered(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     seen = materialize(spark, seen.filter(~F.col("first").eqNullSafe(F.col("last"))).select("w1", "w2", "first"), "repeats")
     parts = seen.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc", "h", F.col("at")[0]), F.lit(SALTS)).cast("int"))
-    later = salted.join(parts, ["w1", "w2", "salt"]).filter(~place.eqNullSafe(F.col("first")))
+    later = salted.join(parts.hint("merge"), ["w1", "w2", "salt"]).filter(~place.eqNullSafe(F.col("first")))
     # windows overlap: each position is met up to WINDOW times
     return later.groupBy("doc", "h").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("at")))).alias("gone"))
 
@@ -80,7 +80,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     gone = materialize(docs.sparkSession, covered(docs, doc_id, text), "covered")
     d, h, g, s = fresh(docs, "__doc", "__hash", "__gone", "__lines")
     gone = gone.select(F.col("doc").alias(d), F.col("h").alias(h), F.col("gone").alias(g))
-    joined = docs.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col(d)) & (F.xxhash64(text) == F.col(h)), "left")
+    joined = docs.join(gone.hint("merge"), F.col(doc_id).cast("long").eqNullSafe(F.col(d)) & (F.xxhash64(text) == F.col(h)), "left")
     joined = joined.select(*docs.columns, g, _once(F.when(F.col(g).isNotNull(), F.split(F.col(text), "\n"))).alias(s))
     left = F.when(F.col(g).isNull(), F.col(text)).otherwise(_left(F.col(s), F.col(g)))
     return joined.select(*[left.alias(c) if c == text else F.col(c) for c in docs.columns])
@@ -89,7 +89,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed, removed (positions, joined by commas), text_md5 of every document."""
     cut = materialize(docs.sparkSession, covered(docs), "covered").select(F.col("doc").alias("d"), "h", "gone")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(cut, F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("h")), "left")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(cut.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("h")), "left")
     rows = rows.select("doc_id", "text", "gone", _once(F.split(F.coalesce("text", F.lit("")), "\n")).alias("lines"))
     left = F.when(F.col("gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(_left(F.col("lines"), F.col("gone")))
     return rows.select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join(F.col("gone").cast("array<string>"), ","), F.lit("")).alias("removed"), F.md5(left.cast("binary")).alias("text_md5"))
