@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import sys
@@ -83,7 +84,7 @@ class ChunkTable:
     chunks in use stay. Results don't depend on the limit. Values are never None.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], list], limit: int = 300_000):
+    def __init__(self, encode_many: Callable[[list[str]], list], limit: int = 350_000):
         self.encode_many, self.limit, self.known = encode_many, limit, _Known({})
 
     def values(self, chunks: Iterable[list[str]]) -> Iterator[list]:
@@ -114,6 +115,13 @@ def arrow_schema(schema: str):
     return to_arrow_schema(StructType.fromDDL(schema))
 
 
+def slim(batches: Iterable, rows: int = 1000) -> Iterator:
+    """Arrow batches in parts of few rows, none of them empty: what Python makes of them stays small."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def arrow_rows(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     """``df.mapInArrow`` where ``run(batch)`` gives the columns of the rows made of one batch."""
     kinds = arrow_schema(schema)
@@ -121,9 +129,8 @@ def arrow_rows(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     def each(batches):
         import pyarrow as pa
 
-        for b in batches:
-            if b.num_rows:
-                yield pa.RecordBatch.from_pydict(run(b), schema=kinds)
+        for b in slim(batches):
+            yield pa.RecordBatch.from_pydict(run(b), schema=kinds)
 
     return df.mapInArrow(each, schema)
 
@@ -146,6 +153,8 @@ _loaded: dict = {}
 def once(key, load: Callable):
     """Per worker process: models and their chunk tables live as long as the worker."""
     if key not in _loaded:
+        # these hold millions of values and no cycles: look for cycles less often
+        gc.set_threshold(100_000, 50, 100)
         _loaded[key] = load()
     return _loaded[key]
 
@@ -168,9 +177,19 @@ def tokenizer(path: str):
 
 _SPACED = re.compile("[ \t\n\r\f\v]*[^ \t\n\r\f\v]+|[ \t\n\r\f\v]+")
 #: For text of Latin letters, where all agree on what is a letter: runs of letters apart from the rest.
+_LETTERS = "[A-Za-zÀ-ÖØ-öø-įıĲ-ɏ]"
 _LATIN = re.compile("[ \t\n\r\f\v]*(?:[A-Za-zÀ-ÖØ-öø-ɏ]+|[^ \t\n\r\f\vA-Za-zÀ-ÖØ-öø-ɏ]+)|[ \t\n\r\f\v]+")
 _LATIN_WORDS = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+|[^ \t\n\r\f\vA-Za-zÀ-ÖØ-öø-ɏ]+")
 _BEYOND = re.compile("[^\t\n\r\f\v -~¡-©«-´¶-¹»-ɏ]|['\u0130]")
+#: Bytes of text that is Latin at a glance: ASCII but control characters and apostrophe, and the two-byte letters from
+#: U+00C0 to U+024F.
+_PLAIN_BYTES = bytes(b for b in [9, 10, 11, 12, 13, *range(32, 127), *range(0x80, 0xC0), *range(0xC3, 0xCA)] if b != 39)
+
+
+def _is_latin(text: str) -> bool:
+    left = text.encode().translate(None, _PLAIN_BYTES)
+    return (not left and "\u0130" not in text) or not _BEYOND.search(text)
+
 
 
 class IdEncoder:
@@ -187,9 +206,44 @@ class IdEncoder:
     def __init__(self, path: str, spaces: bool):
         self.tok, self.spaces = tokenizer(path), spaces
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        import numpy as np
+
+        vocab = self.tok.get_vocab()
+        # bytes of each token (a character each), or whether it ends a word
+        self.parts = np.zeros(max(vocab.values()) + 1, np.int64)
+        for token, i in vocab.items():
+            self.parts[i] = len(token) if spaces else token.endswith("</w>")
+        self.plain = re.compile((" " if spaces else "") + _LETTERS + "+").fullmatch
         self.table = ChunkTable(self._encode)
 
     def _encode(self, chunks: list[str]) -> list[bytes]:
+        """Ids of each chunk. Plain words, which are most chunks, are encoded a thousand in a text, as
+        that keeps them apart just as well, and cut by what their tokens stand for."""
+        plain = [i for i, c in enumerate(chunks) if self.plain(c)]
+        out: list = [None] * len(chunks)
+        for k in range(0, len(plain), 1000):
+            part = plain[k : k + 1000]
+            for i, ids in zip(part, self._encode_joined([chunks[i] for i in part]), strict=True):
+                out[i] = ids
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, ids in zip(rest, self._encode_each([chunks[i] for i in rest]), strict=True):
+            out[i] = ids
+        return out
+
+    def _encode_joined(self, words: list[str]) -> list[bytes]:
+        import numpy as np
+
+        text = "".join(words) if self.spaces else " ".join(words)
+        ids = np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        sums = np.cumsum(self.parts[ids])
+        want = np.cumsum([len(w.encode()) for w in words]) if self.spaces else np.arange(1, len(words) + 1)
+        ends = np.searchsorted(sums, want) + 1
+        if not len(ids) or sums[-1] != want[-1] or (sums[ends - 1] != want).any():
+            return self._encode_each(words)
+        data, ends = ids.tobytes(), (4 * ends).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def _encode_each(self, chunks: list[str]) -> list[bytes]:
         out: list[bytes] = []
         encode = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
         for i in range(0, len(chunks), 20_000):
@@ -200,17 +254,21 @@ class IdEncoder:
             out += [x.tobytes() for x in found]
         return out
 
-    def _split(self, text: str) -> list[str]:
-        if self.spaces:
-            return (_SPACED if _BEYOND.search(text) else _LATIN).findall(text)
-        return text.split() if _BEYOND.search(text) else _LATIN_WORDS.findall(text)
+    def _cut(self, text: str) -> list[str] | None:
+        """The chunks of a text; none if it is to be encoded whole."""
+        if any(s in text for s in self.special):
+            return None
+        if _is_latin(text):
+            return (_LATIN if self.spaces else _LATIN_WORDS).findall(text)
+        if ODD_SPACE.search(text):
+            return None
+        return _SPACED.findall(text) if self.spaces else text.split()
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         for part in slices(texts):
-            whole = [ODD_SPACE.search(t) is not None or any(s in t for s in self.special) for t in part]
-            cut = self.table.values([] if w else self._split(t) for t, w in zip(part, whole, strict=True))
-            for t, w, vs in zip(part, whole, cut, strict=True):
-                yield self._encode([t])[0] if w else b"".join(vs)
+            cut = list(map(self._cut, part))
+            for t, c, vs in zip(part, cut, self.table.values(c or [] for c in cut), strict=True):
+                yield self._encode_each([t])[0] if c is None else b"".join(vs)
 
 
 def id_encoder(path: str, spaces: bool) -> IdEncoder:
