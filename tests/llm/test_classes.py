@@ -206,3 +206,28 @@ def test_vectors_of_an_empty_table(spark, sf):
     df = spark.read.parquet(f"{sf}/embeddings.parquet")
     assert E.label_components(df.limit(0)).count() == 0
     assert E.query(spark, sf).count() == df.count()
+
+
+def test_components_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(N, "ONE_TASK_LINKS", 0)
+    test_components(spark)
+
+
+def test_star_of_copies_that_are_not_near_one_another(make):
+    """A text and edited copies: those near it are one class, and the rest stay as they are, except two
+    whose edits agree."""
+    rnd = random.Random(12)
+    base = [f"w{i}" for i in range(300)]
+    texts = [" ".join(base)]
+    for k in range(60):
+        ws = base[:]
+        for i in rnd.sample(range(300), rnd.choice([3, 9])):
+            ws[i] = f"x{k}a{i}"
+        texts.append(" ".join(ws))
+    last = texts[-1].split()
+    last[0] = "another"
+    texts.append(" ".join(last))
+    want, _ = brute(texts)
+    got = {r.doc_id: r.class_id for r in N.label(make(*enumerate(texts))).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    assert 10 < Counter(want)[0] < 50
