@@ -14,12 +14,16 @@ Jaccard similarity of the two sets is at least the threshold.
 Groups may hold a third of all rows, so no step emits the pairs of a group:
 
 1. Exact copies (same text) become one document, the smallest id.
-2. In each bucket of a band, every member is compared with the smallest one, its leader: as many pairs
-   as members. The leader's set is sent to the pairs in parts, a part for each 64 of them.
+2. In each bucket of a band, every member is compared with one, its leader: as many pairs as members. It
+   leads who stands in the largest buckets, as a text does that the others were made from.
 3. Links join documents into components, by repeated grouping in tables.
-4. Members of one bucket in different components are left: their pairs may still be links. 1 - weighted
-   Jaccard is a metric, so only pairs whose distances to the leader differ by no more than 1 -
-   threshold can be; these are compared. In a bucket of one component there are none.
+4. In large buckets that hold several components still, the best placed member outside the main one is
+   compared with all members of other components, a few rounds over.
+5. What is left are pairs of one bucket whose components differ and of which one isn't in the bucket's
+   main component. They may still be links, if two bounds allow it. 1 - weighted Jaccard is a metric, so
+   their distances to the leader differ by no more than 1 - threshold. And two sets have no more in
+   common than the leader's without what either lacks, and what both have beyond the leader's. All
+   pairs within both bounds are compared; edited copies of one text are not, unless their edits agree.
 
 Defined results: a text without words is in a class with its exact copies alone; a text of fewer than five
 words has one shingle, all its words; null counts as a text of its own kind (nulls are copies of one
@@ -36,7 +40,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, fresh, latest, materialize, once, table
+from .common import arrow_rows, fresh, latest, materialize, once, slim, table
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -45,10 +49,16 @@ SAMPLES = BANDS * ROWS
 #: The sketch of document frequencies; a share of documents above which weights fall, and where to.
 CELLS_LOG2, CHUNKS = 20, 64
 COMMON, FLOOR = 0.01, 0.5
-PAIRS_A_PART = 64
+#: Groups of a leader's shingles in which others tell what they lack.
+GROUPS = 64
+#: Links that one task may join into components.
+ONE_TASK_LINKS = 500_000
+#: Members up to which a bucket needs no pivots, and rounds of pivots in larger ones.
+SMALL, PIVOT_ROUNDS = 16, 2
 _DRAWS_LOG2 = 20
 _SEP = bytes(0 if chr(i).isalnum() or i >= 128 else 1 for i in range(256))
-_WIDE_SPACE = re.compile(r"[^\S ]|[^\x00-\x7f\w\s]")
+#: Spaces and punctuation beyond ASCII; letters and digits of all scripts are parts of words.
+_WIDE_SPACE = re.compile("[\x80-\xa9\xab-\xb4\xb6-\xb9\xbb-\xbf\u2000-\u206f\u3000-\u3004\u3008-\u3020\uff01-\uff0f]")
 
 
 def _mix(x):
@@ -67,11 +77,11 @@ class Sampler:
 
         rng = np.random.Generator(np.random.PCG64(20240229))
         n = 1 << _DRAWS_LOG2
-        self.r = rng.gamma(2.0, 1.0, n)
-        self.log_c = np.log(rng.gamma(2.0, 1.0, n))
-        self.beta = rng.random(n)
+        self.r = rng.gamma(2.0, 1.0, n).astype(np.float32)
+        self.log_c = np.log(rng.gamma(2.0, 1.0, n)).astype(np.float32)
+        self.beta = rng.random(n, dtype=np.float32)
         # for weight 1: log a = log c - r + r * beta
-        self.unit = (self.log_c - self.r + self.r * self.beta).astype(np.float32)
+        self.unit = self.log_c - self.r * (0 - self.beta) - self.r
         self.odd = rng.integers(0, 1 << 63, SAMPLES, dtype=np.uint64) | np.uint64(1)
         self.bytes = rng.integers(0, 1 << 63, 256, dtype=np.uint64)
         self.base = np.uint64(0x9E3779B97F4A7C15)
@@ -141,19 +151,19 @@ class Sampler:
         shift = np.uint64(64 - _DRAWS_LOG2)
         with np.errstate(over="ignore"):
             for part in _parts(h[plain]):
-                idx = (self.odd[:, None] * part[None, :]) >> shift
-                a = self.unit[idx]
+                idx = ((self.odd[:, None] * part[None, :]) >> shift).view(np.int64)
+                a = np.take(self.unit, idx, mode="wrap")
                 at = a.argmin(axis=1)
                 low = a[np.arange(SAMPLES), at].astype(np.float64)
                 better = low < best
                 best[better] = low[better]
                 name[better] = _mix(part[at[better]])
             for part, lw in zip(_parts(h[~plain]), _parts(np.log(w[~plain])), strict=True):
-                idx = (self.odd[:, None] * part[None, :]) >> shift
+                idx = ((self.odd[:, None] * part[None, :]) >> shift).view(np.int64)
                 r = self.r[idx]
-                t = np.floor(lw[None, :] / r + self.beta[idx])
+                t = np.floor(lw[None, :].astype(np.float32) / r + self.beta[idx])
                 # log a = log c - log y - r, and log y = r (t - beta)
-                a = (self.log_c[idx] - r * (t - self.beta[idx]) - r).astype(np.float32)
+                a = self.log_c[idx] - r * (t - self.beta[idx]) - r
                 at = a.argmin(axis=1)
                 rows = np.arange(SAMPLES)
                 low = a[rows, at].astype(np.float64)
@@ -199,7 +209,7 @@ def document_frequencies(docs: DataFrame):
         import pyarrow as pa
 
         s, seen, n = sampler(), np.zeros((2, cells), np.int32), 0
-        for b in batches:
+        for b in slim(batches):
             for text in b["text"].to_pylist():
                 h, _ = s.shingles(text)
                 for row, at in zip(seen, s.cells(h), strict=True):
@@ -296,16 +306,10 @@ def _digests(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def _verified(spark: SparkSession, pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
-    """(a, b, sim) of the pairs (a, b). Each set of ``b`` travels once a pair; that of ``a`` once for
-    each PAIRS_A_PART of its pairs, however many there are."""
+    """(a, b, sim) of the pairs (a, b). One ``a`` may have very many pairs: both joins are plain
+    sort-merge joins, whose large partitions Spark splits while the query runs."""
     pairs = materialize(spark, pairs.distinct(), f"{name}-pairs")
-    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(PAIRS_A_PART)).cast("int").alias("parts"))
-    lead = parts.join(sets.withColumnRenamed("node", "a").withColumnRenamed("set", "set_a"), "a").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - F.lit(1))))
-    lead = materialize(spark, lead, f"{name}-lead")
-    counts = materialize(spark, parts.filter("parts > 1"), f"{name}-parts")
-    dealt = pairs.join(counts, "a", "left").withColumn("part", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
-    dealt = dealt.join(sets.withColumnRenamed("node", "b").withColumnRenamed("set", "set_b"), "b")
-    met = dealt.join(lead.select("a", "part", "set_a"), ["a", "part"])
+    met = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b").join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
 
     def run(b):
         return {"a": b["a"], "b": b["b"], "sim": [similarity(x, y) for x, y in zip(b["set_a"].to_pylist(), b["set_b"].to_pylist(), strict=True)]}
@@ -313,13 +317,39 @@ def _verified(spark: SparkSession, pairs: DataFrame, sets: DataFrame, name: str)
     return materialize(spark, arrow_rows(met.select("a", "b", "set_a", "set_b"), run, "a long, b long, sim double"), f"{name}-verified")
 
 
+def union_find(edges) -> dict[int, int]:
+    """The smallest node that each node of some edges can reach."""
+    root: dict[int, int] = {}
+
+    def top(i: int) -> int:
+        while (up := root.setdefault(i, i)) != i:
+            root[i] = i = root[up]
+        return i
+
+    for a, b in edges:
+        x, y = top(a), top(b)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+    return {i: top(i) for i in list(root)}
+
+
 def components(spark: SparkSession, links: DataFrame, name: str = "components") -> DataFrame:
     """(node, component) of all nodes in ``links`` (a, b): the smallest node each can reach.
 
-    Alternating rounds: every node's larger neighbours are linked to its smallest neighbour, then its
+    Up to ONE_TASK_LINKS links, which a task holds in a few MB, one task joins them. Beyond, in
+    alternating rounds: every node's larger neighbours are linked to its smallest neighbour, then its
     smaller ones are. Each round is written to a table, and links with the smallest node of
     a group of many are made by aggregation and a join that Spark may split, so hubs are no bottleneck."""
     edges = materialize(spark, links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), name)
+    if edges.count() <= ONE_TASK_LINKS:
+
+        def join(batches):
+            import pyarrow as pa
+
+            found = union_find((u, v) for b in batches for u, v in zip(b["u"].to_pylist(), b["v"].to_pylist(), strict=True))
+            yield pa.RecordBatch.from_pydict({"node": pa.array(list(found), pa.int64()), "component": pa.array(list(found.values()), pa.int64())})
+
+        return materialize(spark, edges.coalesce(1).mapInArrow(join, "node long, component long"), f"{name}-joined")
     for turn in range(64):
         # large-star: neighbours above u meet the smallest of u's neighbourhood
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -332,7 +362,8 @@ def components(spark: SparkSession, links: DataFrame, name: str = "components")
         small = materialize(spark, small.distinct(), f"{name}-{turn}")
         # stars alone are left when no node is both above and below another, and each is below one
         if not low.filter("n > 1").limit(1).count() and not small.join(small.select(F.col("v").alias("u")).distinct(), "u", "left_semi").limit(1).count():
-            return small.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(small.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+            tops = small.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+            return materialize(spark, small.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(tops), f"{name}-joined")
         edges = small
     raise RuntimeError("components did not settle in 64 rounds")
 
@@ -354,8 +385,8 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
         import pyarrow as pa
 
         s, w = sampler(), _idf(given.value, mark)
-        for b in batches:
-            nodes, sets, bands = [], [], []
+        for b in slim(batches):
+            nodes, bands = [], []
             for i, t in zip(b["key"].to_pylist(), b["text"].to_pylist(), strict=True):
                 h, c = s.shingles(t)
                 if len(h):
@@ -369,9 +400,13 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     keyed = narrow.select(text_key(F.col("text")).alias("key"), "text")
     signed = keyed.mapInArrow(sign, "key long, bands array<bigint>")
     buckets = materialize(spark, signed.select("key", F.explode("bands").alias("bucket")).distinct(), "buckets")
-    lead = buckets.groupBy("bucket").agg(F.min("key").alias("a"), F.count("*").alias("k")).filter("k > 1").select("bucket", "a")
-    lead = materialize(spark, lead, "leads")
-    members = materialize(spark, buckets.join(lead, "bucket"), "candidates")
+    shared = buckets.groupBy("bucket").agg(F.count("*").alias("k")).filter("k > 1")
+    held = materialize(spark, buckets.join(shared, "bucket"), "held")
+    # a text that others were made from stands in the largest buckets: it leads
+    met_by = held.groupBy("key").agg(F.sum("k").alias("score"))
+    scored = materialize(spark, held.join(met_by, "key"), "scored")
+    lead = materialize(spark, scored.groupBy("bucket").agg(F.max_by("key", F.struct("score", "key")).alias("a")), "leads")
+    members = materialize(spark, scored.join(lead, "bucket"), "candidates")
     pairs = members.filter("key != a").select("a", F.col("key").alias("b"))
 
     # the sets of candidates alone, each made from one row
@@ -382,42 +417,106 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
         import pyarrow as pa
 
         s, w = sampler(), _idf(given.value, mark)
-        for b in batches:
+        for b in slim(batches):
             out = [_pack(h, s.weights(h, c, w)) for h, c in map(s.shingles, b["text"].to_pylist())]
             yield pa.RecordBatch.from_pydict({"node": b["key"], "set": pa.array(out, pa.binary())})
 
     some = narrow.select(text_key(F.col("text")).alias("k"), "id", "text")
-    chosen = some.join(wanted, (F.col("k") == F.col("key")) & F.col("id").eqNullSafe(F.col("node"))).select("key", "text", "first_rows")
+    # a sort-merge join at any size: needs grow in proportion to the input
+    chosen = some.join(wanted.hint("merge"), (F.col("k") == F.col("key")) & F.col("id").eqNullSafe(F.col("node"))).select("key", "text", "first_rows")
     if wanted.filter("first_rows > 1").limit(1).count():
         chosen = chosen.filter("first_rows = 1").unionByName(chosen.filter("first_rows > 1").groupBy("key").agg(F.any_value("text").alias("text"), F.max("first_rows").alias("first_rows")))
     chosen = chosen.select("key", "text")
     sets = materialize(spark, chosen.mapInArrow(pack, "node long, set binary"), "sets")
     met = _verified(spark, pairs, sets, "leader")
     links = met.filter(F.col("sim") >= F.lit(threshold))
-    comp = materialize(spark, components(spark, links), "joined")
-
-    # what the leaders alone don't tell: members of one bucket in different components
-    far = members.join(met.select("a", F.col("b").alias("key"), "sim"), ["a", "key"], "left").withColumn("d", F.when(F.col("key") == F.col("a"), F.lit(0.0)).otherwise(F.lit(1.0) - F.col("sim")))
-    far = far.join(comp.withColumnRenamed("node", "key"), "key", "left").withColumn("c", F.coalesce("component", "key")).select("bucket", "key", "d", "c")
-    mixed = far.groupBy("bucket").agg(F.count(F.when(F.col("d") > F.lit(1 - threshold), 1)).alias("odd")).filter("odd > 0 and odd is not null").select("bucket")
-    mixed = materialize(spark, mixed, "mixed")
-    far = materialize(spark, far.join(mixed, "bucket"), "mixed-members")
-    # one of each such pair is no link of the leader; the leader itself has been compared
-    odd = far.filter(F.col("d") > F.lit(1 - threshold)).select("bucket", F.col("key").alias("x"), F.col("d").alias("dx"), F.col("c").alias("cx"))
-    other = far.filter("d > 0").select("bucket", F.col("key").alias("y"), F.col("d").alias("dy"), F.col("c").alias("cy"))
-    near = F.abs(F.col("dx") - F.col("dy")) <= F.lit(1 - threshold + 1e-9)
-    rest = odd.join(other, "bucket").filter(near & (F.col("cx") != F.col("cy")) & ((F.col("dy") <= F.lit(1 - threshold)) | (F.col("x") < F.col("y"))))
-    rest = materialize(spark, rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "rest")
+    comp = components(spark, links)
+
+    # large buckets of several components: pivots drawn anew each round are compared with the others
+    for turn in range(PIVOT_ROUNDS):
+        state = _state(spark, members.filter(F.col("k") > F.lit(SMALL)), comp, f"state-{turn}")
+        outside = state.join(_main(state), "bucket").filter("c != main")
+        pivot = outside.groupBy("bucket").agg(F.max_by(F.struct("key", "c"), F.struct("score", "key")).alias("p")).select("bucket", F.col("p.key").alias("a"), F.col("p.c").alias("ca"))
+        pivot = materialize(spark, pivot, f"pivots-{turn}")
+        if not pivot.limit(1).count():
+            break
+        others = state.drop("a", "score").join(pivot, "bucket").filter(F.col("c") != F.col("ca")).select("a", F.col("key").alias("b"))
+        more = _verified(spark, others, sets, f"pivot-{turn}").filter(F.col("sim") >= F.lit(threshold))
+        links = materialize(spark, links.unionByName(more), f"links-{turn}")
+        comp = components(spark, links, f"components-{turn}")
+
+    # what leaders and pivots don't tell: members of one bucket that are still in different components
+    state = _state(spark, members, comp, "state")
+    far = met.select("a", F.col("b").alias("key"), (F.lit(1.0) - F.col("sim")).alias("d"))
+    state = state.join(_main(state), "bucket").join(far, ["a", "key"])
+    about = _against_leader(spark, state.select("a", "key").distinct(), sets)
+    state = state.join(about, ["a", "key"])
+    state = materialize(spark, state.select("bucket", "key", "c", "d", "t", "low", "lacks", "more", (F.col("c") == F.col("main")).alias("is_main")), "mixed")
+    # a link has so much in common; two texts have no more than the leader's weight without what either
+    # lacks, and what both have beyond it
+    enough = F.lit(threshold / (1 + threshold) - 1e-6)
+    sum_of = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
+    least = state.groupBy("bucket").agg(F.min("t").alias("t_min"))
+    few = state.filter("not is_main").join(least, "bucket").filter(F.col("low") - sum_of(F.col("lacks")) + F.col("more") >= enough * (F.col("t") + F.col("t_min")))
+    few = few.select("bucket", F.col("key").alias("x"), F.col("c").alias("cx"), F.col("d").alias("dx"), F.col("t").alias("tx"), F.col("lacks").alias("lx"), F.col("more").alias("mx"))
+    common = F.col("low") - sum_of(F.zip_with("lx", "lacks", lambda u, v: F.greatest(u, v))) + F.least("mx", "more")
+    near = (F.abs(F.col("dx") - F.col("d")) <= F.lit(1 - threshold + 1e-6)) & (common >= enough * (F.col("tx") + F.col("t")))
+    rest = few.join(state, "bucket").filter(near & (F.col("cx") != F.col("c")) & (F.col("is_main") | (F.col("x") < F.col("key"))))
+    rest = materialize(spark, rest.select(F.least("x", "key").alias("a"), F.greatest("x", "key").alias("b")).distinct(), "rest")
     if rest.limit(1).count():
         more = _verified(spark, rest, sets, "rest").filter(F.col("sim") >= F.lit(threshold))
-        links = materialize(spark, links.unionByName(more), "links")
-        comp = materialize(spark, components(spark, links, "again"), "joined-again")
+        if more.limit(1).count():
+            links = materialize(spark, links.unionByName(more), "links")
+            comp = components(spark, links, "again")
 
     known = groups.select(F.col("mark"), "digest", "node", "n")
     found = known.join(comp.select(F.col("node").alias("mark"), "component"), "mark", "left").withColumn("component", F.coalesce("component", "mark"))
     return materialize(spark, found, "classes"), links
 
 
+def _main(state: DataFrame) -> DataFrame:
+    """(bucket, main): the component with the most members."""
+    return state.groupBy("bucket", "c").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("c", F.struct("n", "c")).alias("main"))
+
+
+def _against_leader(spark: SparkSession, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, key, t, low, lacks, more) of the pairs (a, key): the weight of key's set and of the leader's; what
+    key's lacks of the leader's, in GROUPS groups of shingles; and the weight it has beyond the leader's, but
+    for what no other set of the leader's has. As many rows are shuffled as shingles are new to the leader."""
+    met = pairs.join(sets.select(F.col("node").alias("key"), F.col("set").alias("set_b")), "key").join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
+
+    def run(b):
+        import numpy as np
+
+        out: dict[str, list] = {k: [] for k in ("t", "low", "lacks", "more", "h", "w")}
+        for x, y in zip(b["set_a"].to_pylist(), b["set_b"].to_pylist(), strict=True):
+            (ha, wa), (hb, wb) = _unpack(x), _unpack(y)
+            at = np.minimum(np.searchsorted(hb, ha), max(0, len(hb) - 1))
+            there = np.where(hb[at] == ha, wb[at], 0.0) if len(hb) else np.zeros(len(ha))
+            new = ~np.isin(hb, ha)
+            out["t"].append(float(wb.sum()))
+            out["low"].append(float(wa.sum()))
+            out["lacks"].append(np.bincount(ha % GROUPS, weights=np.maximum(0.0, wa - there), minlength=GROUPS).tolist())
+            out["more"].append(float(wb[new].sum() + np.maximum(0.0, there - wa).sum()))
+            out["h"].append(hb[new].astype(np.int64).tolist())
+            out["w"].append(wb[new].tolist())
+        return {"a": b["a"], "key": b["key"]} | out
+
+    new = materialize(spark, arrow_rows(met.select("a", "key", "set_a", "set_b"), run, "a long, key long, t double, low double, lacks array<double>, more double, h array<bigint>, w array<double>"), "new")
+    each = new.select("a", "key", F.explode(F.arrays_zip("h", "w")).alias("e")).select("a", "key", F.col("e.h").alias("h"), F.col("e.w").alias("w"))
+    alone = each.groupBy("a", "h").agg(F.count("*").alias("n"), F.max("key").alias("key"), F.max("w").alias("w")).filter("n = 1")
+    alone = alone.groupBy("a", "key").agg(F.sum("w").alias("alone"))
+    return new.select("a", "key", "t", "low", "lacks", "more").join(alone, ["a", "key"], "left").select("a", "key", "t", "low", "lacks", (F.col("more") - F.coalesce("alone", F.lit(0.0))).alias("more"))
+
+
+def _state(spark: SparkSession, members: DataFrame, comp: DataFrame, name: str) -> DataFrame:
+    """(bucket, key, a, score, c): the members, with their components, of buckets that hold several."""
+    now = members.join(comp.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", "a", "score", F.coalesce("component", "key").alias("c"))
+    now = materialize(spark, now, f"{name}-all")
+    mixed = now.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low != high").select("bucket")
+    return materialize(spark, now.join(mixed, "bucket"), name)
+
+
 def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(F.concat(F.lit("t"), F.md5(text.cast("binary")), F.hex(F.xxhash64(text))), F.lit("null")))
 
