@@ -27,7 +27,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, fresh, materialize, table
+from .common import arrow_rows, fresh, materialize, slim, table
 from .toxicity import logistic, training_rows
 
 MAX_TRAINING_DOCS = 20_000
@@ -132,10 +132,10 @@ def site_priors(evidence: DataFrame) -> DataFrame:
     return found.select("host", "path", "n", "host_prior", "path_prior", F.greatest(F.lit(-MOST_SHIFT), F.least(F.lit(MOST_SHIFT), odds)).alias("shift"))
 
 
-def _with_shift(rows: DataFrame, sites: DataFrame, host: str, path: str, salt_by: Column, more: list[str] = []) -> DataFrame:  # noqa: B006
+def _with_shift(rows: DataFrame, sites: DataFrame, host: str, path: str, salt_by: Column, *more: str) -> DataFrame:
     """Joins each row with its site; the rows of a hot site are spread over SALTS parts."""
     h, p, s, t = fresh(rows, "__host", "__path", "__salt", "__salt_of_site")
-    right = sites.select(F.col("host").alias(h), F.col("path").alias(p), "shift", *more).withColumn(s, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    right = sites.select(F.col("host").alias(h), F.col("path").alias(p), *more).withColumn(s, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     left = rows.withColumn(t, F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).cast("int"))
     return left.join(right, F.col(host).eqNullSafe(F.col(h)) & F.col(path).eqNullSafe(F.col(p)) & (F.col(t) == F.col(s))).drop(h, p, s, t)
 
@@ -155,7 +155,7 @@ def score(docs: DataFrame, labels: DataFrame, host: Column | None = None, path:
     """doc_id, p_text, host_prior, path_prior, score, keep of every document."""
     spark = docs.sparkSession
     found = materialize(spark, evidence(docs, fit(docs, labels), F.col("source") if host is None else host, F.col("lang") if path is None else path), "evidence")
-    rows = _with_shift(found, site_priors(found), "host", "path", F.col("doc_id"), ["host_prior", "path_prior"])
+    rows = _with_shift(found, site_priors(found), "host", "path", F.col("doc_id"), "shift", "host_prior", "path_prior")
     return rows.select("doc_id", F.col("p").alias("p_text"), "host_prior", "path_prior", posterior("p", "shift").alias("score")).withColumn("keep", F.col("score") >= F.lit(THRESHOLD))
 
 
@@ -168,19 +168,17 @@ def drop_low_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRE
     spark = docs.sparkSession
     weights = fit(docs, labels)
     sites = materialize(spark, site_priors(evidence(docs, weights, F.col("source"), F.col("lang"))), "priors")
-    (p,) = fresh(docs, "__p")
+    p, s = fresh(docs, "__p", "__shift")
     schema = docs.withColumn(p, F.lit(0.0)).schema
 
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
-            got = pa.array(probabilities(weights, b["text"].to_pylist()) if b.num_rows else [], pa.float64())
-            yield b.append_column(p, got)
+        for b in slim(batches):
+            yield b.append_column(p, pa.array(probabilities(weights, b["text"].to_pylist()), pa.float64()))
 
-    rows = _with_shift(docs.mapInArrow(run, schema).withColumnRenamed("shift", "shift") if "shift" not in docs.columns else docs.withColumnRenamed("shift", "__own_shift").mapInArrow(run, docs.withColumnRenamed("shift", "__own_shift").withColumn(p, F.lit(0.0)).schema), sites, "source", "lang", F.col("doc_id"))
-    kept = rows.filter(posterior(p, "shift") >= F.lit(threshold))
-    return kept.select(*[F.col("__own_shift" if c == "shift" else c).alias(c) for c in docs.columns])
+    rows = _with_shift(docs.mapInArrow(run, schema), sites.withColumnRenamed("shift", s), "source", "lang", F.col("doc_id"), s)
+    return rows.filter(posterior(p, s) >= F.lit(threshold)).select(*docs.columns)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

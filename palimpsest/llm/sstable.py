@@ -33,7 +33,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, arrow_schema, id_encoder, materialize, scratch, table
+from .common import arrow_rows, arrow_schema, id_encoder, materialize, scratch, slim, table
 
 MAGIC = b"PSST0001"
 BLOCK_BYTES = 64 * 1024
@@ -204,8 +204,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
         writer, out = None, None
         tail = end_id.to_bytes(4, "little")
         encode = id_encoder(path, spaces)
-        for b in batches:
-            if writer is None and b.num_rows:
+        for b in slim(batches):
+            if writer is None:
                 out = files.open_output_stream(own)
                 writer = Writer(out)
             for doc_id, ids in zip(b["doc_id"].to_pylist(), encode(b["text"].to_pylist()), strict=True):

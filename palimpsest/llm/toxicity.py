@@ -31,7 +31,7 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, latest, table
+from .common import arrow_rows, latest, slim, table
 
 MAX_TRAINING_DOCS = 20_000
 MAX_NODES = 50_000
@@ -108,7 +108,7 @@ class Scorer:
     def passages(self, text: str | None) -> tuple[list[tuple[int, int, float]], int]:
         """Every maximal segment of the text, and the number of tokens."""
         ws, cache = words(text), self.cache
-        if len(cache) > 500_000:
+        if len(cache) > 200_000:
             cache.clear()
         for w in set(ws):
             if w not in cache:
@@ -334,7 +334,7 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
 
     def run(batches):
         scorer = _scorer(given.value)
-        for b in batches:
+        for b in slim(batches):
             keep = [scorer.probability(*scorer.evidence(t)[:2]) < threshold for t in b["text"].to_pylist()]
             import pyarrow as pa
 
