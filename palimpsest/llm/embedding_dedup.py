@@ -3,9 +3,11 @@
 Vectors are compared within a label alone, by cosine in double precision. Rows of one vector are one
 node. Then:
 
-1. Pivots (a sample of nodes by hash, at most MAX_PIVOTS) cut each label into cluster shards; a node
-   goes to its nearest pivot's shard (its home) and to those of pivots nearly as near, so shards overlap.
-2. Each shard builds a graph: a node's candidates are its nearest neighbours in the shard, some at
+1. Pivots (a sample of nodes by hash, at most MAX_PIVOTS, no two within the threshold of one another) cut
+   each label into cluster shards; a node goes to its nearest pivot's shard (its home) and to each other
+   shard that may be the home of a node in range of it, so both ends of a link meet in the home of either.
+   Of the pivots as many are used as make for the fewest rows to send, by a sample.
+2. Each shard of up to GRAPH_SHARDS x SHARD_ROWS rows builds a graph: a node's candidates are its nearest neighbours in the shard, some at
    random and the medoid; pruning drops a candidate if one that is kept is nearer to it, by a factor,
    than the node is. Edges are added in reverse and pruned again.
 3. A node's adjacency lists from all its shards are united.
@@ -14,6 +16,8 @@ node. Then:
    to its neighbours until nothing new is in range. Cosines of what is found are exact.
 5. A shard sends on the number of links of each node and a spanning forest of its links, never pairs of
    a group; components are joined in tables.
+6. A larger shard (a dense group, or vectors without clusters) is dealt in blocks of BLOCK_ROWS or so; each
+   block of its home nodes is compared with each block of its nodes, in a task each. That finds every link.
 
 ``audit`` measures recall against brute force for every id divisible by 100, against all rows.
 
@@ -34,7 +38,9 @@ from .near_dedup import components
 THRESHOLD = 0.98
 SHARD_ROWS = 1000
 MAX_PIVOTS = 4096
-OVERLAP, MARGIN = 6, 0.08
+GRAPH_SHARDS = 2
+BLOCK_ROWS = 4096
+SAMPLE_ROWS = 4096
 DEGREE, POOL, RANDOM_EDGES, ALPHA = 24, 48, 8, 1.2
 BEAM = 12
 HOT, SALTS = 64, 16
@@ -164,20 +170,74 @@ def nodes_of(vectors: DataFrame) -> DataFrame:
     return groups.select(F.xxhash64("label", "embedding").alias("mark"), "label", F.size("embedding").alias("dim"), "embedding", "node", "n")
 
 
-def pivots_of(nodes: DataFrame, total: int) -> dict:
-    """Pivots by (label, dim): at most MAX_PIVOTS or so, chosen by hash."""
+def thinned(v, threshold: float):
+    """The rows of ``v``, in their order, that aren't in range of one kept before."""
     import numpy as np
 
-    every = max(SHARD_ROWS, -(-total // MAX_PIVOTS))
-    rows = nodes.filter(F.pmod(F.xxhash64("mark", F.lit(5)), F.lit(every)) == 0).orderBy(F.xxhash64("mark", F.lit(6))).limit(2 * MAX_PIVOTS).select("label", "dim", "embedding").collect()
+    kept = np.empty_like(v)
+    n = 0
+    for x in v:
+        if not n or (kept[:n] @ x).max() < threshold:
+            kept[n] = x
+            n += 1
+    return kept[:n]
+
+
+def within(v, centres, threshold: float):
+    """(home, there): each row's nearest pivot; by row and pivot, whether that pivot may be the nearest of a
+    vector in range of the row. If x is in range of y and no nearer to pivot q than to p, y lies at most
+    the threshold's angle beyond the plane halfway between p and q."""
+    import numpy as np
+
+    sims = v @ centres.T
+    home = sims.argmax(axis=1)
+    apart = np.sqrt(np.maximum(0.0, 2 - 2 * (centres[home] @ centres.T)))
+    sine = (1 - threshold * threshold) ** 0.5
+    there = np.take_along_axis(sims, home[:, None], axis=1) - sims <= sine * apart + 1e-9
+    there[np.arange(len(v)), home] = True
+    return home, there
+
+
+def rows_sent(v, centres, threshold: float, total: float) -> float:
+    """Estimate, from sampled rows ``v`` of ``total``, of the rows that all tasks of these shards read."""
+    import numpy as np
+
+    home, there = within(v, centres, threshold)
+    each = total / len(v)
+    size, homes = there.sum(axis=0) * each, np.bincount(home, minlength=len(centres)) * each
+    blocks = homes * np.ceil(size / BLOCK_ROWS) + size * np.ceil(homes / BLOCK_ROWS)
+    return float(np.where(size <= GRAPH_SHARDS * SHARD_ROWS, size, blocks).sum())
+
+
+def sampled(nodes: DataFrame, every: int, seed: int, limit: int) -> dict:
+    """Unit vectors by (label, dim) of one in ``every`` nodes by hash."""
+    import numpy as np
+
+    rows = nodes.filter(F.pmod(F.xxhash64("mark", F.lit(seed)), F.lit(every)) == 0).orderBy(F.xxhash64("mark", F.lit(seed + 1))).limit(limit).select("label", "dim", "embedding").collect()
     found: dict = {}
     for r in rows:
         found.setdefault((r.label, r.dim), []).append(r.embedding)
     return {k: unit(np.array(x, dtype=object)) for k, x in found.items()}
 
 
-def assign(nodes: DataFrame, pivots: dict) -> DataFrame:
-    """mark, label, dim, shard, home: each node in its home shard and those nearly as near."""
+def pivots_of(nodes: DataFrame, total: int, threshold: float = THRESHOLD) -> dict:
+    """Pivots by (label, dim): at most MAX_PIVOTS or so, chosen by hash, thinned out, and of these the first
+    so many that the fewest rows are sent. Any choice gives the same links; one pivot is one shard."""
+    found = sampled(nodes, max(SHARD_ROWS, -(-total // MAX_PIVOTS)), 5, 2 * MAX_PIVOTS)
+    found = {k: c for k, v in found.items() if len(c := thinned(v, threshold)) > 1}
+    every = max(1, total // SAMPLE_ROWS)
+    rows = sampled(nodes, every, 7, 2 * SAMPLE_ROWS) if found else {}
+    out = {}
+    for k, centres in found.items():
+        if k in rows:
+            counts = [len(centres) >> i for i in range(len(centres).bit_length())]
+            best = min(counts, key=lambda n: rows_sent(rows[k], centres[:n], threshold, every * len(rows[k])))
+            out[k] = centres[:best]
+    return out
+
+
+def assign(nodes: DataFrame, pivots: dict, threshold: float = THRESHOLD) -> DataFrame:
+    """mark, label, dim, shard, home: each node in its home shard and those where nodes in range may live."""
     given = nodes.sparkSession.sparkContext.broadcast(pivots)
 
     def run(batches):
@@ -185,31 +245,79 @@ def assign(nodes: DataFrame, pivots: dict) -> DataFrame:
         import pandas as pd
 
         for b in batches:
-            parts = []
-            for (label, dim), g in b.groupby(["label", "dim"]):
+            for (label, dim), whole in b.groupby(["label", "dim"]):
                 centres = given.value.get((label, dim))
                 if centres is None:
-                    parts.append(pd.DataFrame({"mark": g["mark"], "label": label, "dim": dim, "shard": 0, "home": True}))
+                    yield pd.DataFrame({"mark": whole["mark"], "label": label, "dim": dim, "shard": 0, "home": True})
                     continue
-                sims = unit(g["embedding"]) @ centres.T
-                k = min(OVERLAP, sims.shape[1])
-                top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-                best = np.take_along_axis(sims, top, axis=1)
-                take = best >= best[:, :1] - MARGIN
-                take[:, :2] = True
-                row, col = np.nonzero(take)
-                parts.append(pd.DataFrame({"mark": g["mark"].to_numpy()[row], "label": label, "dim": dim, "shard": top[row, col], "home": col == 0}))
-            if parts:
-                yield pd.concat(parts)
+                for i in range(0, len(whole), 512):
+                    g = whole.iloc[i : i + 512]
+                    home, there = within(unit(g["embedding"]), centres, threshold)
+                    row, col = np.nonzero(there)
+                    yield pd.DataFrame({"mark": g["mark"].to_numpy()[row], "label": label, "dim": dim, "shard": col, "home": col == home[row]})
 
     return nodes.select("mark", "label", "dim", "embedding").mapInPandas(run, "mark long, label long, dim int, shard int, home boolean")
 
 
+def compare(asking, asked, n, marks, ask_marks, threshold: float):
+    """(linked, forest): rows linked with each asking vector; pairs of marks that join what is linked."""
+    import numpy as np
+
+    linked = np.zeros(len(asking), np.int64)
+    names = np.concatenate([marks, ask_marks])
+    root = np.arange(len(names))
+    for i in range(0, len(asking), 512):
+        sims = asking[i : i + 512] @ asked.T
+        hit = sims >= threshold
+        for r, c in np.argwhere(np.abs(sims - threshold) < 1e-9):
+            hit[r, c] = (asked[c] * asking[i + r]).sum() >= threshold
+        hit &= ask_marks[i : i + 512, None] != marks[None]
+        linked[i : i + 512] = hit @ n.astype(np.float64)
+        for r in np.flatnonzero(hit.any(axis=1)):
+            met = root[np.append(np.flatnonzero(hit[r]), len(marks) + i + r)]
+            if (low := met.min()) != met.max():
+                root[np.isin(root, np.unique(met))] = low
+    joined = np.flatnonzero(names[root] != names)
+    return linked, (names[root[joined]], names[joined])
+
+
+def links_by_blocks(held: DataFrame, threshold: float) -> DataFrame:
+    """a, b, linked, as of graph shards, of shards with ``size`` rows and ``homes`` home rows: every block of
+    home rows meets every block of rows."""
+    ask_blocks, blocks = (F.ceil(F.col(c) / F.lit(BLOCK_ROWS)).cast("int") for c in ("homes", "size"))
+    shards = ["label", "dim", "shard"]
+    of_ask, of_asked = F.pmod(F.xxhash64("mark", F.lit(9)), ask_blocks).cast("int"), F.pmod(F.xxhash64("mark", F.lit(10)), blocks).cast("int")
+
+    def all_of(count):
+        return F.explode(F.sequence(F.lit(0), count - F.lit(1)))
+
+    rows = held.filter("homes > 0")
+    asking = rows.filter("home").select(*shards, of_ask.alias("ask_block"), all_of(blocks).alias("block"), F.lit(True).alias("asks"), "mark", "n", "embedding")
+    asked = rows.select(*shards, all_of(ask_blocks).alias("ask_block"), of_asked.alias("block"), F.lit(False).alias("asks"), "mark", "n", "embedding")
+
+    def run(pdf):
+        import numpy as np
+        import pandas as pd
+
+        pdf = pdf.sort_values("mark", kind="stable")
+        asks = pdf["asks"].to_numpy()
+        v, marks, n = unit(pdf["embedding"]), pdf["mark"].to_numpy(), pdf["n"].to_numpy()
+        linked, (a, b) = compare(v[asks], v[~asks], n[~asks], marks[~asks], marks[asks], threshold)
+        some = linked > 0
+        return pd.DataFrame({"a": np.concatenate([marks[asks][some], a]), "b": pd.array([None] * int(some.sum()) + b.tolist(), dtype="Int64"), "linked": pd.array(linked[some].tolist() + [None] * len(b), dtype="Int64")})
+
+    return asking.unionByName(asked).groupBy(*shards, "ask_block", "block").applyInPandas(run, "a long, b long, linked long")
+
+
 def find_links(nodes: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(degrees, forest): mark, linked (rows linked in other vectors); a, b of a spanning forest."""
     spark = nodes.sparkSession
-    placed = materialize(spark, assign(nodes, pivots_of(nodes, nodes.count())), "placed")
-    held = materialize(spark, placed.join(nodes.select("mark", "embedding", "n"), "mark"), "held")
+    shards = ["label", "dim", "shard"]
+    placed = materialize(spark, assign(nodes, pivots_of(nodes, nodes.count(), threshold), threshold), "placed")
+    sizes = placed.groupBy(*shards).agg(F.count("*").alias("size"), F.sum(F.col("home").cast("long")).alias("homes"))
+    everything = materialize(spark, placed.join(sizes, shards).join(nodes.select("mark", "embedding", "n"), "mark"), "held")
+    fits = F.col("size") <= F.lit(GRAPH_SHARDS * SHARD_ROWS)
+    held = everything.filter(fits)
 
     def build(pdf):
         import pandas as pd
@@ -219,7 +327,6 @@ def find_links(nodes: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFram
         lists = build_graph(unit(pdf["embedding"]), threshold)
         return pd.DataFrame({"mark": marks, "edges": [marks[x].tolist() for x in lists]})
 
-    shards = ["label", "dim", "shard"]
     edges = held.select(*shards, "mark", "embedding").groupBy(*shards).applyInPandas(build, "mark long, edges array<long>")
     united = edges.groupBy("mark").agg(F.array_distinct(F.flatten(F.collect_list("edges"))).alias("edges"))
     united = materialize(spark, united, "united")
@@ -255,8 +362,8 @@ def find_links(nodes: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFram
         return pd.DataFrame({"a": np.array(out_marks + [a for a, _ in forest], dtype=np.int64), "b": b, "linked": pd.array(linked + [None] * len(forest), dtype="Int64")})
 
     grown = held.join(united, "mark", "left").select(*shards, "mark", "embedding", "n", "home", "edges").groupBy(*shards).applyInPandas(find, "a long, b long, linked long")
-    grown = materialize(spark, grown, "searched")
-    return grown.filter("linked is not null").select(F.col("a").alias("mark"), "linked"), grown.filter("b is not null").select("a", "b")
+    grown = materialize(spark, grown.unionByName(links_by_blocks(everything.filter(~fits), threshold)), "searched")
+    return grown.filter("linked is not null").groupBy(F.col("a").alias("mark")).agg(F.sum("linked").alias("linked")), grown.filter("b is not null").select("a", "b")
 
 
 def label_components(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -6,6 +6,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from palimpsest.llm import embedding_dedup as E
@@ -202,6 +203,34 @@ def test_vectors_against_brute_force(spark, monkeypatch, shard):
     assert E.audit(df, out, every=10) >= 0.9
 
 
+def test_dense_group_of_distinct_vectors(spark, tmp_path):
+    """20,000 distinct vectors, nearly all near one another, in a label without other vectors, and some that are alone."""
+    rnd = np.random.Generator(np.random.PCG64(4))
+    v = np.concatenate([rnd.normal(size=64) + rnd.normal(size=(20_000, 64)) * 0.1, rnd.normal(size=(500, 64))]).astype(np.float32)
+    pd.DataFrame({"vec_id": np.arange(len(v)), "embedding": list(v), "label": np.int32(0)}).to_parquet(tmp_path / "v.parquet")
+    df = spark.read.parquet(str(tmp_path / "v.parquet"))
+    out = E.label_components(df).persist()
+    assert out.count() == len(v)
+    assert E.audit(df, out) >= 0.9999
+    got = out.toPandas().set_index("vec_id")
+    assert (got.component_id[:20_000] == 0).all() and (got.n_links[20_000:] == 0).all()
+    u = v[:20_000].astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    assert all(got.n_links[i] == (u @ u[i] >= E.THRESHOLD).sum() - 1 for i in range(0, 20_000, 500))
+
+
+def test_both_ends_of_a_link_meet():
+    """Each vector is in the home shard of every vector in range of it, whatever the pivots."""
+    rnd = np.random.Generator(np.random.PCG64(6))
+    centre = rnd.normal(size=64)
+    v = np.concatenate([centre + rnd.normal(size=(2000, 64)) * s for s in (0.1, 0.2)])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    home, there = E.within(v, v[::50], E.THRESHOLD)
+    near = v @ v.T >= E.THRESHOLD
+    assert near.sum() > 100_000
+    assert there[:, home].T[near].all()
+
+
 def test_vectors_of_an_empty_table(spark, sf):
     df = spark.read.parquet(f"{sf}/embeddings.parquet")
     assert E.label_components(df.limit(0)).count() == 0
