@@ -182,8 +182,8 @@ _LATIN = re.compile("[ \t\n\r\f\v]*(?:[A-Za-zÀ-ÖØ-öø-ɏ]+|[^ \t\n\r\f\vA-Za
 _LATIN_WORDS = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+|[^ \t\n\r\f\vA-Za-zÀ-ÖØ-öø-ɏ]+")
 _BEYOND = re.compile("[^\t\n\r\f\v -~¡-©«-´¶-¹»-ɏ]|['\u0130]")
 #: Bytes of text that is Latin at a glance: ASCII but control characters and apostrophe, and the two-byte letters from
-#: U+00C0 to U+024F.
-_PLAIN_BYTES = bytes(b for b in [9, 10, 11, 12, 13, *range(32, 127), *range(0x80, 0xC0), *range(0xC3, 0xCA)] if b != 39)
+#: U+00C0 to U+023F. Those up to U+024F share their lead byte with letters beyond, so _BEYOND tells them apart.
+_PLAIN_BYTES = bytes(b for b in [9, 10, 11, 12, 13, *range(32, 127), *range(0x80, 0xC0), *range(0xC3, 0xC9)] if b != 39)
 
 
 def _is_latin(text: str) -> bool:

@@ -47,6 +47,18 @@ def test_chunked_ids_are_the_library(name, spaces):
             assert got == encoder._encode([t])[0], t
 
 
+@pytest.mark.parametrize("name, spaces", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_letters_beyond_latin_extended(name, spaces):
+    """Letters from U+0240 to U+027F, alone and between others, in texts of otherwise plain Latin."""
+    rnd = random.Random(8)
+    odd = [chr(c) for c in range(0x240, 0x280)]
+    ts = ["gaskiya ɗan ɓera", "the word pɪɛnɔ is", "ɔkɔ Ɛwe kɔɖ"] + [f"a word{c}s {c} {c}x, x{c}" for c in odd]
+    ts += ["".join(rnd.choice(["a", "é", "ɏ", " ", ".", rnd.choice(odd)]) for _ in range(20)) for _ in range(500)]
+    encoder = common.IdEncoder(P.path(name), spaces)
+    for t, got in zip(ts, encoder(ts), strict=True):
+        assert got == encoder._encode_each([t])[0], t
+
+
 def test_sentencepiece_query(spark, sf, make):
     import sentencepiece
 
