@@ -281,9 +281,9 @@ def compare(asking, asked, n, marks, ask_marks, threshold: float):
     return linked, (names[root[joined]], names[joined])
 
 
-def links_by_blocks(held: DataFrame, threshold: float) -> DataFrame:
-    """a, b, linked, as of graph shards, of shards with ``size`` rows and ``homes`` home rows: every block of
-    home rows meets every block of rows."""
+def in_blocks(held: DataFrame) -> DataFrame:
+    """Rows of shards with ``size`` rows and ``homes`` home rows, dealt so that every block of home rows (asks)
+    meets every block of rows: a task each, of about 2 x BLOCK_ROWS rows at most, however large the shard."""
     ask_blocks, blocks = (F.ceil(F.col(c) / F.lit(BLOCK_ROWS)).cast("int") for c in ("homes", "size"))
     shards = ["label", "dim", "shard"]
     of_ask, of_asked = F.pmod(F.xxhash64("mark", F.lit(9)), ask_blocks).cast("int"), F.pmod(F.xxhash64("mark", F.lit(10)), blocks).cast("int")
@@ -294,6 +294,11 @@ def links_by_blocks(held: DataFrame, threshold: float) -> DataFrame:
     rows = held.filter("homes > 0")
     asking = rows.filter("home").select(*shards, of_ask.alias("ask_block"), all_of(blocks).alias("block"), F.lit(True).alias("asks"), "mark", "n", "embedding")
     asked = rows.select(*shards, all_of(ask_blocks).alias("ask_block"), of_asked.alias("block"), F.lit(False).alias("asks"), "mark", "n", "embedding")
+    return asking.unionByName(asked)
+
+
+def links_by_blocks(held: DataFrame, threshold: float) -> DataFrame:
+    """a, b, linked, as of graph shards, of shards compared block by block."""
 
     def run(pdf):
         import numpy as np
@@ -306,7 +311,7 @@ def links_by_blocks(held: DataFrame, threshold: float) -> DataFrame:
         some = linked > 0
         return pd.DataFrame({"a": np.concatenate([marks[asks][some], a]), "b": pd.array([None] * int(some.sum()) + b.tolist(), dtype="Int64"), "linked": pd.array(linked[some].tolist() + [None] * len(b), dtype="Int64")})
 
-    return asking.unionByName(asked).groupBy(*shards, "ask_block", "block").applyInPandas(run, "a long, b long, linked long")
+    return in_blocks(held).groupBy("label", "dim", "shard", "ask_block", "block").applyInPandas(run, "a long, b long, linked long")
 
 
 def find_links(nodes: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:

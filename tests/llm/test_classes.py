@@ -8,6 +8,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from palimpsest.llm import embedding_dedup as E
 from palimpsest.llm import near_dedup as N
@@ -219,6 +220,15 @@ def test_dense_group_of_distinct_vectors(spark, tmp_path):
     assert all(got.n_links[i] == (u @ u[i] >= E.THRESHOLD).sum() - 1 for i in range(0, 20_000, 500))
 
 
+def test_tasks_of_a_large_shard_are_bounded(spark):
+    """A label without pivots: every node meets every node once, and no group grows with the label."""
+    n = 20_000
+    held = spark.range(n).select(F.xxhash64("id").alias("mark"), F.lit(0).cast("long").alias("label"), F.lit(1).alias("dim"), F.lit(0).alias("shard"), F.lit(True).alias("home"), F.lit(n).cast("long").alias("size"), F.lit(n).cast("long").alias("homes"), F.lit(1).cast("long").alias("n"), F.array(F.lit(1.0)).alias("embedding"))
+    groups = E.in_blocks(held).groupBy("shard", "ask_block", "block").agg(F.count("*").alias("all"), F.sum(F.col("asks").cast("int")).alias("asks")).collect()
+    assert max(r["all"] for r in groups) <= 2.2 * E.BLOCK_ROWS
+    assert sum(r.asks * (r["all"] - r.asks) for r in groups) == n * n
+
+
 def test_both_ends_of_a_link_meet():
     """Each vector is in the home shard of every vector in range of it, whatever the pivots."""
     rnd = np.random.Generator(np.random.PCG64(6))
