@@ -3,32 +3,39 @@
 Vectors are compared within a label alone, by cosine in double precision. Rows of one vector are one
 node. Then:
 
-1. Pivots (a sample of nodes by hash, at most MAX_PIVOTS, no two within the threshold of one another) cut
-   each label into cluster shards; a node goes to its nearest pivot's shard (its home) and to each other
-   shard that may be the home of a node in range of it, so both ends of a link meet in the home of either.
-   Of the pivots as many are used as make for the fewest rows to send, by a sample.
-2. Each shard of up to GRAPH_SHARDS x SHARD_ROWS rows builds a graph: a node's candidates are its nearest neighbours in the shard, some at
-   random and the medoid; pruning drops a candidate if one that is kept is nearer to it, by a factor,
-   than the node is. Edges are added in reverse and pruned again.
+1. Each label is cut into overlapping cluster shards. A shard of more than ``Sizes.graph`` rows is cut around pivots
+   (nodes of its own, by hash, no two within the threshold of one another); a node goes to its nearest
+   pivot's shard, its home, and to each earlier one that may be the home of a node in range of it. So the two
+   ends of a link meet in one shard: the earlier one of their homes. Shards are cut again, level by level,
+   while that lowers the number of rows that tasks have to read, by a sample of the shard's rows; their number
+   grows with the table, and pivots stay in tables.
+2. Each shard builds a graph: a node's candidates are its nearest neighbours in the shard, some at random and
+   the medoid; pruning drops a candidate if one that is kept is nearer to it, by a factor, than the node is.
+   Edges are added in reverse and pruned again.
 3. A node's adjacency lists from all its shards are united.
-4. In its home shard each node is searched: greedily from the shard's medoid with a beam, then
-   expanding from every node within reach (twice the angle of the threshold, by the triangle inequality)
+4. In each of its shards a node is searched over the united lists: greedily from the shard's medoid with a beam,
+   then expanding from every node within reach (twice the angle of the threshold, by the triangle inequality)
    to its neighbours until nothing new is in range. Cosines of what is found are exact.
-5. A shard sends on the number of links of each node and a spanning forest of its links, never pairs of
-   a group; components are joined in tables.
-6. A larger shard (a dense group, or vectors without clusters) is dealt in blocks of BLOCK_ROWS or so; each
-   block of its home nodes is compared with each block of its nodes, in a task each. That finds every link.
+5. A pair that either end finds counts once, for both ends, in the one shard where it belongs. A shard sends on
+   the number of links of each node and a spanning forest of its links, never pairs of a group;
+   components are joined in tables.
+6. A shard that can't be cut to its use (a dense group, or vectors without clusters) is dealt in blocks of
+   ``Sizes.block`` rows or so; every two blocks are compared whole, in a task each. That finds every link.
 
-``audit`` measures recall against brute force for every id divisible by 100, against all rows.
+``audit`` compares the pairs found with those of brute force, for every id divisible by 100 against all rows.
 
 Defined results: vectors that are null, empty, all zero, or hold a null or non-finite component, and
 rows with a null label or null id, link with nothing: n_links 0, own id as component, kept. Rows of the
 same vector and label link with one another; a repeated id is one more row. Vectors of different
-lengths aren't compared. The component is the smallest id reachable; an empty table gives no rows.
+lengths aren't compared. The component is the smallest id reachable; an empty table gives no rows; other
+columns play no part.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,16 +43,27 @@ from .common import materialize, table
 from .near_dedup import components
 
 THRESHOLD = 0.98
-SHARD_ROWS = 1000
-MAX_PIVOTS = 4096
-GRAPH_SHARDS = 2
-BLOCK_ROWS = 4096
-SAMPLE_ROWS = 4096
+#: Rows of a shard meet what is known of it in this many parts.
+PARTS = 64
 DEGREE, POOL, RANDOM_EDGES, ALPHA = 24, 48, 8, 1.2
 BEAM = 12
 HOT, SALTS = 64, 16
 
 
+class Sizes(NamedTuple):
+    """Home rows a shard is meant to have; rows up to which it isn't cut; pivots of one cut at most; rows of a
+    block; rows of a shard's sample. They bound what a task holds; links don't depend on them."""
+
+    shard: int = 1000
+    graph: int = 2000
+    pivots: int = 64
+    block: int = 4096
+    sample: int = 2048
+
+
+SIZES = Sizes()
+
+
 def valid(embedding: Column, label: Column) -> Column:
     """True if the vector may be compared; never null."""
     good = F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))) & F.exists(embedding, lambda x: x != 0)
@@ -163,11 +181,12 @@ def cosine(v, rows, q: int):
     return (v[rows] * v[q]).sum(axis=1)
 
 
-def nodes_of(vectors: DataFrame) -> DataFrame:
-    """A row per label and vector: mark (64-bit key), label, dim, embedding, node (smallest id), n."""
+def nodes_of(vectors: DataFrame, traced: Column | None = None) -> DataFrame:
+    """A row per label and vector: mark (64-bit key), label, dim, embedding, node (smallest id), n, traced."""
     good = vectors.filter(valid(F.col("embedding"), F.col("label")) & F.col("vec_id").isNotNull())
-    groups = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("n"))
-    return groups.select(F.xxhash64("label", "embedding").alias("mark"), "label", F.size("embedding").alias("dim"), "embedding", "node", "n")
+    some = F.lit(False) if traced is None else F.coalesce(F.bool_or(traced), F.lit(False))
+    groups = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("n"), some.alias("traced"))
+    return groups.select(F.xxhash64("label", "embedding").alias("mark"), "label", F.size("embedding").alias("dim"), "embedding", "node", "n", "traced")
 
 
 def thinned(v, threshold: float):
@@ -184,9 +203,10 @@ def thinned(v, threshold: float):
 
 
 def within(v, centres, threshold: float):
-    """(home, there): each row's nearest pivot; by row and pivot, whether that pivot may be the nearest of a
-    vector in range of the row. If x is in range of y and no nearer to pivot q than to p, y lies at most
-    the threshold's angle beyond the plane halfway between p and q."""
+    """(home, there): each row's nearest pivot; by row and pivot, whether the row goes to its shard: if it is
+    the home, or an earlier one that may be the nearest of a vector in range of the row. If x is in range of
+    y and no nearer to pivot q than to p, y lies at most the threshold's angle beyond the plane halfway
+    between p and q."""
     import numpy as np
 
     sims = v @ centres.T
@@ -194,135 +214,189 @@ def within(v, centres, threshold: float):
     apart = np.sqrt(np.maximum(0.0, 2 - 2 * (centres[home] @ centres.T)))
     sine = (1 - threshold * threshold) ** 0.5
     there = np.take_along_axis(sims, home[:, None], axis=1) - sims <= sine * apart + 1e-9
+    there &= np.arange(len(centres)) < home[:, None]
     there[np.arange(len(v)), home] = True
     return home, there
 
 
-def rows_sent(v, centres, threshold: float, total: float) -> float:
+def rows_sent(v, centres, threshold: float, total: float, sizes: Sizes) -> float:
     """Estimate, from sampled rows ``v`` of ``total``, of the rows that all tasks of these shards read."""
     import numpy as np
 
-    home, there = within(v, centres, threshold)
-    each = total / len(v)
-    size, homes = there.sum(axis=0) * each, np.bincount(home, minlength=len(centres)) * each
-    blocks = homes * np.ceil(size / BLOCK_ROWS) + size * np.ceil(homes / BLOCK_ROWS)
-    return float(np.where(size <= GRAPH_SHARDS * SHARD_ROWS, size, blocks).sum())
+    _, there = within(v, centres, threshold)
+    size = there.sum(axis=0) * (total / len(v))
+    return float(np.where(size <= sizes.graph, size, size * np.ceil(size / sizes.block)).sum())
 
 
-def sampled(nodes: DataFrame, every: int, seed: int, limit: int) -> dict:
-    """Unit vectors by (label, dim) of one in ``every`` nodes by hash."""
-    import numpy as np
+def pivots_of(v, total: int, threshold: float, sizes: Sizes):
+    """Pivots for a shard of ``total`` rows with the sampled rows ``v``: of the first ones, thinned out, so many that
+    the fewest rows are sent; none if that is one shard. Any choice gives the same links."""
+    centres = thinned(v[: 2 * sizes.pivots], threshold)[: min(sizes.pivots, max(2, total // sizes.shard))]
+    counts = [len(centres) >> i for i in range(len(centres).bit_length())]
+    best = min(counts, key=lambda n: rows_sent(v, centres[:n], threshold, total, sizes), default=1)
+    return centres[:best] if best > 1 else None
 
-    rows = nodes.filter(F.pmod(F.xxhash64("mark", F.lit(seed)), F.lit(every)) == 0).orderBy(F.xxhash64("mark", F.lit(seed + 1))).limit(limit).select("label", "dim", "embedding").collect()
-    found: dict = {}
-    for r in rows:
-        found.setdefault((r.label, r.dim), []).append(r.embedding)
-    return {k: unit(np.array(x, dtype=object)) for k, x in found.items()}
-
-
-def pivots_of(nodes: DataFrame, total: int, threshold: float = THRESHOLD) -> dict:
-    """Pivots by (label, dim): at most MAX_PIVOTS or so, chosen by hash, thinned out, and of these the first
-    so many that the fewest rows are sent. Any choice gives the same links; one pivot is one shard."""
-    found = sampled(nodes, max(SHARD_ROWS, -(-total // MAX_PIVOTS)), 5, 2 * MAX_PIVOTS)
-    found = {k: c for k, v in found.items() if len(c := thinned(v, threshold)) > 1}
-    every = max(1, total // SAMPLE_ROWS)
-    rows = sampled(nodes, every, 7, 2 * SAMPLE_ROWS) if found else {}
-    out = {}
-    for k, centres in found.items():
-        if k in rows:
-            counts = [len(centres) >> i for i in range(len(centres).bit_length())]
-            best = min(counts, key=lambda n: rows_sent(rows[k], centres[:n], threshold, every * len(rows[k])))
-            out[k] = centres[:best]
-    return out
-
-
-def assign(nodes: DataFrame, pivots: dict, threshold: float = THRESHOLD) -> DataFrame:
-    """mark, label, dim, shard, home: each node in its home shard and those where nodes in range may live."""
-    given = nodes.sparkSession.sparkContext.broadcast(pivots)
-
-    def run(batches):
+
+SHARD = ["label", "dim", "shard"]
+_ROW = "label long, dim int, shard long, depth int, homes long, mark long, n long, traced boolean, embedding "
+_NAMES = [x.split()[0] for x in _ROW.split(", ")]
+
+
+def _sized(rows: DataFrame) -> DataFrame:
+    """Adds the number of rows of each shard. The rows of a large one meet it in parts."""
+    sizes = rows.groupBy(*SHARD).agg(F.count("*").alias("size")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return rows.withColumn("part", F.pmod(F.xxhash64("mark"), F.lit(PARTS)).cast("int")).join(sizes, [*SHARD, "part"]).drop("part")
+
+
+def cut(big: DataFrame, depth: int, threshold: float, sizes: Sizes) -> DataFrame:
+    """The rows of shards that are too large, in shards of the next level; those of shards that no cut helps get
+    ``final``. Pivots are chosen from a sample of each shard and meet its rows block by block."""
+
+    def choose(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values("turn", kind="stable")
+        found = pivots_of(unit(pdf["embedding"]), int(pdf["size"].iloc[0]), threshold, sizes)
+        some = [] if found is None else [[x.tolist() for x in found]]
+        return pdf.iloc[: len(some)][[*SHARD, "size"]].assign(pivots=pd.Series(some, dtype=object, index=pdf.index[: len(some)]))
+
+    turn = F.xxhash64("mark", F.lit(5 + 2 * depth))
+    sample = big.select(*SHARD, "size", turn.alias("turn"), "embedding").filter(F.pmod(F.shiftrightunsigned("turn", 8), F.ceil(F.col("size") / F.lit(sizes.sample))) == 0)
+    chosen = sample.groupBy(*SHARD).applyInPandas(choose, "label long, dim int, shard long, size long, pivots array<array<double>>")
+    chosen = materialize(big.sparkSession, chosen, "pivots")
+    parts = F.ceil(F.col("size") / F.lit(sizes.block)).cast("int")
+    given = chosen.withColumn("part", F.explode(F.sequence(F.lit(0), parts - F.lit(1)))).select(*SHARD, "part", "pivots")
+    rows = big.withColumn("part", F.pmod(F.xxhash64("mark", F.lit(6 + 2 * depth)), parts).cast("int")).drop("size")
+
+    def assign(pdf, about):
         import numpy as np
+
+        if not len(about) or not len(pdf):
+            return pdf.drop(columns="part").assign(final=True)
+        centres = np.array([list(x) for x in about["pivots"].iloc[0]])
+        out = []
+        v = unit(pdf["embedding"])
+        for i in range(0, len(v), 512):
+            home, there = within(v[i : i + 512], centres, threshold)
+            row, col = np.nonzero(there)
+            some = pdf.iloc[i + row].drop(columns="part")
+            some["homes"] = some["homes"].to_numpy() | ((col == home[row]).astype(np.int64) << depth)
+            some["shard"] = some["shard"].to_numpy() * 2 * sizes.pivots + 1 + col
+            out.append(some.assign(depth=depth + 1, final=False))
         import pandas as pd
 
-        for b in batches:
-            for (label, dim), whole in b.groupby(["label", "dim"]):
-                centres = given.value.get((label, dim))
-                if centres is None:
-                    yield pd.DataFrame({"mark": whole["mark"], "label": label, "dim": dim, "shard": 0, "home": True})
-                    continue
-                for i in range(0, len(whole), 512):
-                    g = whole.iloc[i : i + 512]
-                    home, there = within(unit(g["embedding"]), centres, threshold)
-                    row, col = np.nonzero(there)
-                    yield pd.DataFrame({"mark": g["mark"].to_numpy()[row], "label": label, "dim": dim, "shard": col, "home": col == home[row]})
+        return pd.concat(out)
 
-    return nodes.select("mark", "label", "dim", "embedding").mapInPandas(run, "mark long, label long, dim int, shard int, home boolean")
+    return rows.groupBy(*SHARD, "part").cogroup(given.groupBy(*SHARD, "part")).applyInPandas(assign, f"{_ROW}{big.schema['embedding'].dataType.simpleString()}, final boolean")
 
 
-def compare(asking, asked, n, marks, ask_marks, threshold: float):
-    """(linked, forest): rows linked with each asking vector; pairs of marks that join what is linked."""
-    import numpy as np
+def shards_of(nodes: DataFrame, threshold: float, sizes: Sizes) -> tuple[DataFrame, DataFrame]:
+    """(graphs, dense): the rows of shards for a graph each, and of those to be compared block by block. ``homes`` has
+    a bit for each level at which the shard is the row's home: a pair belongs to the shard if their bits
+    together are all ``depth`` of them."""
+    spark = nodes.sparkSession
+    rows = nodes.select("label", "dim", F.lit(0).cast("long").alias("shard"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("homes"), "mark", "n", "traced", "embedding")
+    graphs: list[DataFrame] = []
+    dense: list[DataFrame] = []
+    for depth in range(9):  # as many levels as a shard's number has room for, for 64^9 shards
+        sized = materialize(spark, _sized(rows), f"sized-{depth}")
+        graphs.append(sized.filter(F.col("size") <= F.lit(sizes.graph)).select(*_NAMES))
+        big = sized.filter(F.col("size") > F.lit(sizes.graph))
+        if not big.limit(1).count():
+            break
+        lower = materialize(spark, cut(big, depth, threshold, sizes), f"cut-{depth}")
+        dense.append(lower.filter("final"))
+        rows = lower.filter("not final").select(*_NAMES)
+    else:
+        dense.append(rows)
+    none = rows.limit(0)
+    join = lambda frames: reduce(DataFrame.unionByName, [x.select(*_NAMES) for x in frames], none)
+    return join(graphs), _sized(join(dense))
 
-    linked = np.zeros(len(asking), np.int64)
-    names = np.concatenate([marks, ask_marks])
-    root = np.arange(len(names))
-    for i in range(0, len(asking), 512):
-        sims = asking[i : i + 512] @ asked.T
-        hit = sims >= threshold
-        for r, c in np.argwhere(np.abs(sims - threshold) < 1e-9):
-            hit[r, c] = (asked[c] * asking[i + r]).sum() >= threshold
-        hit &= ask_marks[i : i + 512, None] != marks[None]
-        linked[i : i + 512] = hit @ n.astype(np.float64)
+
+class Links:
+    """What a task finds: rows linked with each vector, a forest of marks, pairs of traced marks."""
+
+    def __init__(self, marks, n, homes, traced, depth: int):
+        import numpy as np
+
+        self.marks, self.n, self.homes, self.traced, self.full = marks, n.astype(np.float64), homes, traced, (1 << depth) - 1
+        self.linked = np.zeros(len(marks), np.int64)
+        self.root = np.arange(len(marks))
+        self.pairs: list = []
+
+    def add(self, rows, cols, hit, both: bool) -> None:
+        """``hit`` by rows and columns (positions). ``both``: count for the columns as well."""
+        import numpy as np
+
+        hit &= (self.homes[rows][:, None] | self.homes[cols][None]) == self.full
+        self.linked[rows] += np.rint(hit @ self.n[cols]).astype(np.int64)
+        if both:
+            self.linked[cols] += np.rint(self.n[rows] @ hit).astype(np.int64)
         for r in np.flatnonzero(hit.any(axis=1)):
-            met = root[np.append(np.flatnonzero(hit[r]), len(marks) + i + r)]
+            met = self.root[np.append(cols[hit[r]], rows[r])]
             if (low := met.min()) != met.max():
-                root[np.isin(root, np.unique(met))] = low
-    joined = np.flatnonzero(names[root] != names)
-    return linked, (names[root[joined]], names[joined])
+                self.root[np.isin(self.root, np.unique(met))] = low
+        for k in np.flatnonzero(self.traced[rows]):
+            self.pairs += [(self.marks[rows[k]], m) for m in self.marks[cols[hit[k]]]]
+        if both:
+            for k in np.flatnonzero(self.traced[cols]):
+                self.pairs += [(self.marks[cols[k]], m) for m in self.marks[rows[hit[:, k]]]]
+
+    def frame(self):
+        import numpy as np
+        import pandas as pd
 
+        some, joined = np.flatnonzero(self.linked), np.flatnonzero(self.root != np.arange(len(self.root)))
+        pairs = np.array(self.pairs, np.int64).reshape(-1, 2)
+        none = np.zeros(len(some), np.int64)
+        return pd.DataFrame(
+            {
+                "kind": np.repeat([DEGREE_OF, FOREST, PAIR], [len(some), len(joined), len(pairs)]).astype(np.int32),
+                "a": np.concatenate([self.marks[some], self.marks[self.root[joined]], pairs[:, 0]]),
+                "b": np.concatenate([none, self.marks[joined], pairs[:, 1]]),
+                "linked": np.concatenate([self.linked[some], np.zeros(len(joined) + len(pairs), np.int64)]),
+            }
+        )
 
-def in_blocks(held: DataFrame) -> DataFrame:
-    """Rows of shards with ``size`` rows and ``homes`` home rows, dealt so that every block of home rows (asks)
-    meets every block of rows: a task each, of about 2 x BLOCK_ROWS rows at most, however large the shard."""
-    ask_blocks, blocks = (F.ceil(F.col(c) / F.lit(BLOCK_ROWS)).cast("int") for c in ("homes", "size"))
-    shards = ["label", "dim", "shard"]
-    of_ask, of_asked = F.pmod(F.xxhash64("mark", F.lit(9)), ask_blocks).cast("int"), F.pmod(F.xxhash64("mark", F.lit(10)), blocks).cast("int")
 
-    def all_of(count):
-        return F.explode(F.sequence(F.lit(0), count - F.lit(1)))
+DEGREE_OF, FOREST, PAIR = 0, 1, 2
+_FOUND = "kind int, a long, b long, linked long"
 
-    rows = held.filter("homes > 0")
-    asking = rows.filter("home").select(*shards, of_ask.alias("ask_block"), all_of(blocks).alias("block"), F.lit(True).alias("asks"), "mark", "n", "embedding")
-    asked = rows.select(*shards, all_of(ask_blocks).alias("ask_block"), of_asked.alias("block"), F.lit(False).alias("asks"), "mark", "n", "embedding")
-    return asking.unionByName(asked)
 
+def in_blocks(dense: DataFrame, sizes: Sizes = SIZES) -> DataFrame:
+    """Rows of shards with ``size`` rows, dealt so that every two blocks of rows meet once: a task each, of about
+    2 x ``sizes.block`` rows at most, however large the shard."""
+    blocks = F.ceil(F.col("size") / F.lit(sizes.block)).cast("int")
+    rows = dense.withColumn("block", F.pmod(F.xxhash64("mark", F.lit(9)), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - F.lit(1))))
+    return rows.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("other", "size")
 
-def links_by_blocks(held: DataFrame, threshold: float) -> DataFrame:
-    """a, b, linked, as of graph shards, of shards compared block by block."""
 
+def links_by_blocks(dense: DataFrame, threshold: float, sizes: Sizes) -> DataFrame:
     def run(pdf):
         import numpy as np
-        import pandas as pd
 
         pdf = pdf.sort_values("mark", kind="stable")
-        asks = pdf["asks"].to_numpy()
-        v, marks, n = unit(pdf["embedding"]), pdf["mark"].to_numpy(), pdf["n"].to_numpy()
-        linked, (a, b) = compare(v[asks], v[~asks], n[~asks], marks[~asks], marks[asks], threshold)
-        some = linked > 0
-        return pd.DataFrame({"a": np.concatenate([marks[asks][some], a]), "b": pd.array([None] * int(some.sum()) + b.tolist(), dtype="Int64"), "linked": pd.array(linked[some].tolist() + [None] * len(b), dtype="Int64")})
-
-    return in_blocks(held).groupBy("label", "dim", "shard", "ask_block", "block").applyInPandas(run, "a long, b long, linked long")
-
-
-def find_links(nodes: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(degrees, forest): mark, linked (rows linked in other vectors); a, b of a spanning forest."""
-    spark = nodes.sparkSession
-    shards = ["label", "dim", "shard"]
-    placed = materialize(spark, assign(nodes, pivots_of(nodes, nodes.count(), threshold), threshold), "placed")
-    sizes = placed.groupBy(*shards).agg(F.count("*").alias("size"), F.sum(F.col("home").cast("long")).alias("homes"))
-    everything = materialize(spark, placed.join(sizes, shards).join(nodes.select("mark", "embedding", "n"), "mark"), "held")
-    fits = F.col("size") <= F.lit(GRAPH_SHARDS * SHARD_ROWS)
-    held = everything.filter(fits)
+        v, block = unit(pdf["embedding"]), pdf["block"].to_numpy()
+        found = Links(pdf["mark"].to_numpy(), pdf["n"].to_numpy(), pdf["homes"].to_numpy(), pdf["traced"].to_numpy(), int(pdf["depth"].iloc[0]))
+        low, high = int(pdf["low"].iloc[0]), int(pdf["high"].iloc[0])
+        rows, cols = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        there = v[cols]
+        for i in range(0, len(rows), 512):
+            part = rows[i : i + 512]
+            sims = v[part] @ there.T
+            hit = sims >= threshold
+            for r, c in np.argwhere(np.abs(sims - threshold) < 1e-9):
+                hit[r, c] = (there[c] * v[part[r]]).sum() >= threshold
+            hit &= part[:, None] != cols[None]
+            found.add(part, cols, hit, low != high)
+        return found.frame()
+
+    return in_blocks(dense, sizes).groupBy(*SHARD, "low", "high").applyInPandas(run, _FOUND)
+
+
+def links_by_graphs(graphs: DataFrame, threshold: float) -> DataFrame:
+    spark = graphs.sparkSession
 
     def build(pdf):
         import pandas as pd
@@ -332,51 +406,48 @@ def find_links(nodes: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFram
         lists = build_graph(unit(pdf["embedding"]), threshold)
         return pd.DataFrame({"mark": marks, "edges": [marks[x].tolist() for x in lists]})
 
-    edges = held.select(*shards, "mark", "embedding").groupBy(*shards).applyInPandas(build, "mark long, edges array<long>")
+    edges = graphs.select(*SHARD, "mark", "embedding").groupBy(*SHARD).applyInPandas(build, "mark long, edges array<long>")
     united = edges.groupBy("mark").agg(F.array_distinct(F.flatten(F.collect_list("edges"))).alias("edges"))
     united = materialize(spark, united, "united")
 
     def find(pdf):
         import numpy as np
-        import pandas as pd
 
         pdf = pdf.sort_values("mark", kind="stable").reset_index(drop=True)
-        v, marks, n = unit(pdf["embedding"]), pdf["mark"].tolist(), pdf["n"].to_numpy()
-        where = {m: i for i, m in enumerate(marks)}
+        v, marks = unit(pdf["embedding"]), pdf["mark"].to_numpy()
+        where = {m: i for i, m in enumerate(marks.tolist())}
         lists = [[where[m] for m in e if m in where] if e is not None else [] for e in pdf["edges"]]
         medoid = int((v @ v.mean(axis=0)).argmax())
-        root = list(range(len(marks)))
-
-        def top(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        out_marks, linked = [], []
-        for q in np.flatnonzero(pdf["home"].to_numpy()).tolist():
-            hits = search(v, lists, medoid, q, threshold)
-            out_marks.append(marks[q])
-            linked.append(int(n[hits].sum()))
-            for h in hits.tolist():
-                a, b = top(q), top(h)
-                root[max(a, b)] = min(a, b)
-        forest = [(marks[top(i)], marks[i]) for i in range(len(marks)) if top(i) != i]
-        # whole numbers all through: a column of numbers and gaps would become one of floats
-        b = pd.array([None] * len(out_marks) + [b for _, b in forest], dtype="Int64")
-        return pd.DataFrame({"a": np.array(out_marks + [a for a, _ in forest], dtype=np.int64), "b": b, "linked": pd.array(linked + [None] * len(forest), dtype="Int64")})
-
-    grown = held.join(united, "mark", "left").select(*shards, "mark", "embedding", "n", "home", "edges").groupBy(*shards).applyInPandas(find, "a long, b long, linked long")
-    grown = materialize(spark, grown.unionByName(links_by_blocks(everything.filter(~fits), threshold)), "searched")
-    return grown.filter("linked is not null").groupBy(F.col("a").alias("mark")).agg(F.sum("linked").alias("linked")), grown.filter("b is not null").select("a", "b")
-
-
-def label_components(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+        hit = np.zeros((len(v), len(v)), bool)
+        for q in range(len(v)):
+            hit[q, search(v, lists, medoid, q, threshold)] = True
+        everyone = np.arange(len(v))
+        found = Links(marks, pdf["n"].to_numpy(), pdf["homes"].to_numpy(), pdf["traced"].to_numpy(), int(pdf["depth"].iloc[0]))
+        found.add(everyone, everyone, hit | hit.T, False)  # found by one end, it is a link of both
+        return found.frame()
+
+    return graphs.join(united, "mark").groupBy(*SHARD).applyInPandas(find, _FOUND)
+
+
+def find_links(nodes: DataFrame, threshold: float = THRESHOLD, sizes: Sizes = SIZES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(degrees, forest, pairs): mark, linked (rows linked in other vectors); a, b of a spanning forest; a, b of
+    all links found of traced nodes ``a``."""
+    graphs, dense = shards_of(nodes, threshold, sizes)
+    found = materialize(nodes.sparkSession, links_by_graphs(graphs, threshold).unionByName(links_by_blocks(dense, threshold, sizes)), "searched")
+    of = lambda kind: found.filter(F.col("kind") == F.lit(kind))
+    return of(DEGREE_OF).groupBy(F.col("a").alias("mark")).agg(F.sum("linked").alias("linked")), of(FOREST).select("a", "b"), of(PAIR).select("a", "b")
+
+
+def _rows(vectors: DataFrame) -> DataFrame:
+    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.col("label").cast("long").alias("label"))
+
+
+def label_components(vectors: DataFrame, threshold: float = THRESHOLD, sizes: Sizes = SIZES) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
     spark = vectors.sparkSession
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.col("label").cast("long").alias("label"))
+    rows = _rows(vectors)
     nodes = materialize(spark, nodes_of(rows), "nodes")
-    degrees, forest = find_links(nodes, threshold)
+    degrees, forest, _ = find_links(nodes, threshold, sizes)
     comp = components(spark, forest, "vectors")
     known = nodes.select("mark", "node", "n").join(comp.withColumnRenamed("node", "mark"), "mark", "left").withColumn("component", F.coalesce("component", "mark")).join(degrees, "mark", "left")
     known = materialize(spark, known, "known")
@@ -394,32 +465,59 @@ def label_components(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFr
     return alone.unionByName(of_hot).unionByName(others).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
-def audit(vectors: DataFrame, found: DataFrame, threshold: float = THRESHOLD, every: int = 100) -> float:
-    """Share of the links of ids divisible by ``every`` that were found, against all rows by brute force.
-    The queries are a stated set; they meet all rows in blocks of Arrow batches."""
-    import numpy as np
-
-    good = vectors.filter(valid(F.col("embedding"), F.col("label")) & F.col("vec_id").isNotNull()).select("vec_id", "embedding", "label")
-    asked = good.filter(F.col("vec_id") % F.lit(every) == 0).toPandas()
-    if not len(asked):
-        return 1.0
-    by_dim = {k: (unit(g["embedding"]), g["vec_id"].to_numpy(), g["label"].to_numpy()) for k, g in asked.groupby(asked["embedding"].map(len))}
-
-    def run(batches):
-        import pandas as pd
-
-        for b in batches:
-            for i in range(0, len(b), 1024):
-                for dim, part in b.iloc[i : i + 1024].groupby(b["embedding"].map(len)):
-                    if dim in by_dim:
-                        q, ids, labels = by_dim[dim]
-                        hit = (unit(part["embedding"]) @ q.T >= threshold) & (part["label"].to_numpy()[:, None] == labels[None]) & (part["vec_id"].to_numpy()[:, None] != ids[None])
-                        yield pd.DataFrame({"vec_id": ids, "there": hit.sum(axis=0).astype(np.int64)})
-
-    truth = good.mapInPandas(run, "vec_id long, there long").groupBy("vec_id").agg(F.sum("there").alias("there"))
-    both = truth.join(found.select("vec_id", "n_links"), "vec_id").agg(F.sum("there").alias("t"), F.sum(F.least("there", "n_links")).alias("f")).first()
-    return float(both.f / both.t) if both.t else 1.0
+def audit(vectors: DataFrame, threshold: float = THRESHOLD, every: int = 100, sizes: Sizes = SIZES) -> dict[str, int]:
+    """Pairs of nodes, of ids divisible by ``every`` with all others: how many brute force finds (true), how many
+    of them were lost, and how many found are not among them (wrong). The nodes asked for are a stated set;
+    so many at a time meet all rows in batches."""
+    spark = vectors.sparkSession
+    nodes = materialize(spark, nodes_of(_rows(vectors), F.col("vec_id") % F.lit(every) == 0), "audited")
+    found = find_links(nodes, threshold, sizes)[2].distinct()
+    asked = nodes.filter("traced").select("mark", "label", "dim", "embedding")
+    turns = -(-asked.count() // sizes.block)
+    truth = spark.createDataFrame([], "a long, b long")
+    for turn in range(turns):
+        block = asked.filter(F.pmod(F.xxhash64("mark", F.lit(13)), F.lit(turns)) == turn).toPandas()
+        by = {k: (unit(g["embedding"]), g["mark"].to_numpy()) for k, g in block.groupby(["label", "dim"])}
+
+        def run(batches, by=by):
+            import numpy as np
+            import pandas as pd
+
+            for b in batches:
+                for key, part in b.groupby(["label", "dim"]):
+                    if key in by:
+                        q, marks = by[key]
+                        there = part["mark"].to_numpy()
+                        row, col = np.nonzero((unit(part["embedding"]) @ q.T >= threshold) & (there[:, None] != marks[None]))
+                        yield pd.DataFrame({"a": marks[col], "b": there[row]})
+
+        truth = truth.unionByName(nodes.select("mark", "label", "dim", "embedding").mapInPandas(run, "a long, b long"))
+    truth = materialize(spark, truth, "truth")
+    return {"true": truth.count(), "lost": truth.join(found, ["a", "b"], "left_anti").count(), "wrong": found.join(truth, ["a", "b"], "left_anti").count()}
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_components(table(spark, sf_dir, "embeddings"))
+
+
+#: Vectors with an id each and of one length, as the table has them.
+SQL = f"""
+WITH RECURSIVE good AS (
+    SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+    WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS MATERIALIZED (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id
+    WHERE list_cosine_similarity(a.v, b.v) >= {THRESHOLD}
+), reach AS (
+    SELECT vec_id AS a, vec_id AS b FROM embeddings
+    UNION
+    SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+), least AS (
+    SELECT a, min(b) AS component_id FROM reach GROUP BY a
+), degree AS (
+    SELECT a, count(*) AS n FROM links GROUP BY a
+)
+SELECT e.vec_id, CAST(coalesce(d.n, 0) AS BIGINT) AS n_links, l.component_id, e.vec_id = l.component_id AS kept
+FROM embeddings e JOIN least l ON e.vec_id = l.a LEFT JOIN degree d ON e.vec_id = d.a
+"""
