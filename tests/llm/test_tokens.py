@@ -133,12 +133,70 @@ def test_local_search_empties_bins():
     better = packing.improve([b[:] for b in bins], lengths, 100, 3)
     assert sorted(i for b in better for i in b) == list(range(9))
     assert len(better) == 3 and all(sum(lengths[i] for i in b) <= 100 for b in better)
+
+
+def squares(bins, lengths):
+    return sum(sum(lengths[i] for i in b) ** 2 for b in bins)
+
+
+def test_every_step_raises_the_squared_fill(monkeypatch):
+    """The changes told are all positive and add up to the rise; what is left has no step that raises it."""
+    improve = packing.improve
+    monkeypatch.setattr(packing, "improve", lambda bins, *_: bins)
     rnd = random.Random(3)
-    for _ in range(30):
-        lengths = [rnd.randint(1, 60) for _ in range(60)]
-        packed = packing.pack_block(lengths, 100)
-        assert sorted(i for b in packed for i in b) == list(range(60))
-        assert all(sum(lengths[i] for i in b) <= 100 for b in packed)
+    n_steps = fewer = 0
+    for _ in range(60):
+        top, capacity = rnd.choice([(60, 100), (45, 100), (400, 1000)])
+        lengths = [rnd.randint(top // 5, top) for _ in range(60)]
+        bins = packing.pack_block(lengths, capacity)
+        before, changes = squares(bins, lengths), []
+        after = improve([b[:] for b in bins], lengths, capacity, 0, changes.append)
+        assert sorted(i for b in after for i in b) == list(range(60)) and all(sum(lengths[i] for i in b) <= capacity for b in after)
+        assert all(c > 0 for c in changes) and squares(after, lengths) == before + sum(changes)
+        n_steps += len(changes)
+        fewer += len(after) < len(bins)
+        fills = [sum(lengths[i] for i in b) for b in after]
+        for x, a in enumerate(after):
+            for y, b in enumerate(after):
+                if x != y:
+                    outs = [lengths[i] for i in a] + [lengths[i] + lengths[j] for i in a for j in a if i < j]
+                    backs = [0] + [lengths[i] for i in b]
+                    gains = [o - r for o in outs for r in backs] + [lengths[i] - lengths[j] - lengths[m] for i in a for j in b for m in b if j < m]
+                    assert not any(0 < g <= capacity - fills[y] and fills[y] + g > fills[x] for g in gains)
+    assert n_steps > 100 and fewer > 3
+
+
+def fewest(lengths, capacity):
+    """The least number of bins, by trying all ways."""
+    best = len(lengths)
+    lengths = sorted(lengths, reverse=True)
+
+    def put(k, fills):
+        nonlocal best
+        if len(fills) >= best:
+            return
+        if k == len(lengths):
+            best = len(fills)
+            return
+        for room in {f for f in fills if f + lengths[k] <= capacity}:
+            at = fills.index(room)
+            put(k + 1, fills[:at] + [room + lengths[k]] + fills[at + 1 :])
+        put(k + 1, [*fills, lengths[k]])
+
+    put(0, [])
+    return best
+
+
+def test_small_blocks_against_the_optimum():
+    rnd = random.Random(8)
+    over = 0
+    for _ in range(120):
+        lengths = [rnd.randint(15, 70) for _ in range(rnd.randint(1, 11))]
+        least = fewest(lengths, 100)
+        assert packing.lower_bound(lengths, 100) <= least
+        over += len(packing.pack_block(lengths, 100)) - least
+    assert over <= 2
+    assert packing.lower_bound([60] * 7 + [10], 100) == 7 and packing.lower_bound([], 100) == 0
 
 
 # shards of ids
