@@ -11,7 +11,8 @@ same with the probability of their weighted Jaccard similarity. Samples are put
 documents that agree in a band are candidates, and a candidate pair counts if the exact weighted
 Jaccard similarity of the two sets is at least the threshold.
 
-Groups may hold a third of all rows, so no step emits the pairs of a group:
+Groups may hold a third of all rows, so no step emits the pairs of a group, and what is known of a bucket
+meets its members in parts of PART_ROWS or so:
 
 1. Exact copies (same text) become one document, the smallest id.
 2. In each bucket of a band, every member is compared with one, its leader: as many pairs as members. It
@@ -51,8 +52,8 @@ CELLS_LOG2, CHUNKS = 20, 64
 COMMON, FLOOR = 0.01, 0.5
 #: Groups of a leader's shingles in which others tell what they lack.
 GROUPS = 64
-#: Links that one task may join into components.
-ONE_TASK_LINKS = 500_000
+#: Members of a bucket that one task meets, or so: larger buckets are dealt in parts.
+PART_ROWS = 64
 #: Members up to which a bucket needs no pivots, and rounds of pivots in larger ones.
 SMALL, PIVOT_ROUNDS = 16, 2
 _DRAWS_LOG2 = 20
@@ -197,7 +198,7 @@ def sampler() -> Sampler:
 
 def document_frequencies(docs: DataFrame):
     """(2 x 2^20 inverse document frequencies as float32 bytes, number of documents). Tasks count in
-    sketches of their own; chunks of these are added up in two rounds, so no task sees all of them."""
+    sketches of their own; chunks of these are added up in three rounds of 256 at a time."""
     import numpy as np
 
     cells = 1 << CELLS_LOG2
@@ -222,14 +223,14 @@ def document_frequencies(docs: DataFrame):
             parts = [zlib.compress(flat[i : i + size].tobytes(), 1) for i in range(0, len(flat), size)]
             from pyspark import TaskContext
 
-            yield pa.RecordBatch.from_pydict({"chunk": pa.array([*range(CHUNKS), -1], pa.int32()), "part": pa.array([TaskContext.get().partitionId() // 256] * (CHUNKS + 1), pa.int32()), "counts": pa.array([*parts, str(n).encode()], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array([*range(CHUNKS), -1], pa.int32()), "part": pa.array([TaskContext.get().partitionId()] * (CHUNKS + 1), pa.int32()), "counts": pa.array([*parts, str(n).encode()], pa.binary())})
 
     def add(key, rows):
         import zlib
 
         import pyarrow as pa
 
-        chunk, parts = key[0].as_py(), rows.column("counts").to_pylist()
+        (chunk, part), parts = (k.as_py() for k in key), rows.column("counts").to_pylist()
         if chunk < 0:
             out = str(sum(map(int, parts))).encode()
         else:
@@ -238,11 +239,12 @@ def document_frequencies(docs: DataFrame):
                 raw = zlib.decompress(x)
                 total += np.frombuffer(raw, np.int32 if len(raw) == 4 * size else np.int64)
             out = zlib.compress(total.tobytes(), 1)
-        return pa.table({"chunk": pa.array([chunk], pa.int32()), "counts": pa.array([out], pa.binary())})
+        return pa.table({"chunk": pa.array([chunk], pa.int32()), "part": pa.array([part], pa.int32()), "counts": pa.array([out], pa.binary())})
 
     counts = docs.select("text").mapInArrow(count, "chunk int, part int, counts binary")
-    once_added = counts.groupBy("chunk", "part").applyInArrow(add, "chunk int, counts binary")
-    rows = once_added.groupBy("chunk").applyInArrow(add, "chunk int, counts binary").collect()  # of fixed size
+    for _ in range(3):  # 2^24 tasks and one
+        counts = counts.withColumn("part", F.shiftright("part", 8)).groupBy("chunk", "part").applyInArrow(add, "chunk int, part int, counts binary")
+    rows = counts.collect()  # of fixed size
     import zlib
 
     n = next((int(r.counts) for r in rows if r.chunk < 0), 0)
@@ -317,39 +319,13 @@ def _verified(spark: SparkSession, pairs: DataFrame, sets: DataFrame, name: str)
     return materialize(spark, arrow_rows(met.select("a", "b", "set_a", "set_b"), run, "a long, b long, sim double"), f"{name}-verified")
 
 
-def union_find(edges) -> dict[int, int]:
-    """The smallest node that each node of some edges can reach."""
-    root: dict[int, int] = {}
-
-    def top(i: int) -> int:
-        while (up := root.setdefault(i, i)) != i:
-            root[i] = i = root[up]
-        return i
-
-    for a, b in edges:
-        x, y = top(a), top(b)
-        if x != y:
-            root[max(x, y)] = min(x, y)
-    return {i: top(i) for i in list(root)}
-
-
 def components(spark: SparkSession, links: DataFrame, name: str = "components") -> DataFrame:
     """(node, component) of all nodes in ``links`` (a, b): the smallest node each can reach.
 
-    Up to ONE_TASK_LINKS links, which a task holds in a few MB, one task joins them. Beyond, in
-    alternating rounds: every node's larger neighbours are linked to its smallest neighbour, then its
-    smaller ones are. Each round is written to a table, and links with the smallest node of
+    In alternating rounds, whatever the size: every node's larger neighbours are linked to its smallest
+    neighbour, then its smaller ones are. Each round is written to a table, and links with the smallest node of
     a group of many are made by aggregation and a join that Spark may split, so hubs are no bottleneck."""
     edges = materialize(spark, links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), name)
-    if edges.count() <= ONE_TASK_LINKS:
-
-        def join(batches):
-            import pyarrow as pa
-
-            found = union_find((u, v) for b in batches for u, v in zip(b["u"].to_pylist(), b["v"].to_pylist(), strict=True))
-            yield pa.RecordBatch.from_pydict({"node": pa.array(list(found), pa.int64()), "component": pa.array(list(found.values()), pa.int64())})
-
-        return materialize(spark, edges.coalesce(1).mapInArrow(join, "node long, component long"), f"{name}-joined")
     for turn in range(64):
         # large-star: neighbours above u meet the smallest of u's neighbourhood
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -401,12 +377,13 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     signed = keyed.mapInArrow(sign, "key long, bands array<bigint>")
     buckets = materialize(spark, signed.select("key", F.explode("bands").alias("bucket")).distinct(), "buckets")
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("k")).filter("k > 1")
-    held = materialize(spark, buckets.join(shared, "bucket"), "held")
+    # large buckets are dealt in parts from here on; this one join is a sort-merge join, which Spark splits
+    held = materialize(spark, _in_parts(buckets.join(shared.hint("merge"), "bucket")), "held")
     # a text that others were made from stands in the largest buckets: it leads
     met_by = held.groupBy("key").agg(F.sum("k").alias("score"))
     scored = materialize(spark, held.join(met_by, "key"), "scored")
-    lead = materialize(spark, scored.groupBy("bucket").agg(F.max_by("key", F.struct("score", "key")).alias("a")), "leads")
-    members = materialize(spark, scored.join(lead, "bucket"), "candidates")
+    lead = materialize(spark, scored.groupBy("bucket").agg(F.max_by("key", F.struct("score", "key")).alias("a"), F.max("parts").alias("parts")), "leads")
+    members = materialize(spark, _meet(scored, lead), "candidates")
     pairs = members.filter("key != a").select("a", F.col("key").alias("b"))
 
     # the sets of candidates alone, each made from one row
@@ -435,12 +412,12 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     # large buckets of several components: pivots drawn anew each round are compared with the others
     for turn in range(PIVOT_ROUNDS):
         state = _state(spark, members.filter(F.col("k") > F.lit(SMALL)), comp, f"state-{turn}")
-        outside = state.join(_main(state), "bucket").filter("c != main")
-        pivot = outside.groupBy("bucket").agg(F.max_by(F.struct("key", "c"), F.struct("score", "key")).alias("p")).select("bucket", F.col("p.key").alias("a"), F.col("p.c").alias("ca"))
+        outside = materialize(spark, _meet(state, _main(state)).filter("c != main"), f"outside-{turn}")
+        pivot = outside.groupBy("bucket").agg(F.max_by(F.struct("key", "c"), F.struct("score", "key")).alias("p"), F.max("parts").alias("parts")).select("bucket", "parts", F.col("p.key").alias("a"), F.col("p.c").alias("ca"))
         pivot = materialize(spark, pivot, f"pivots-{turn}")
         if not pivot.limit(1).count():
             break
-        others = state.drop("a", "score").join(pivot, "bucket").filter(F.col("c") != F.col("ca")).select("a", F.col("key").alias("b"))
+        others = _meet(state.drop("a", "score"), pivot).filter(F.col("c") != F.col("ca")).select("a", F.col("key").alias("b"))
         more = _verified(spark, others, sets, f"pivot-{turn}").filter(F.col("sim") >= F.lit(threshold))
         links = materialize(spark, links.unionByName(more), f"links-{turn}")
         comp = components(spark, links, f"components-{turn}")
@@ -448,20 +425,21 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     # what leaders and pivots don't tell: members of one bucket that are still in different components
     state = _state(spark, members, comp, "state")
     far = met.select("a", F.col("b").alias("key"), (F.lit(1.0) - F.col("sim")).alias("d"))
-    state = state.join(_main(state), "bucket").join(far, ["a", "key"])
+    state = _meet(state, _main(state)).join(far, ["a", "key"])
     about = _against_leader(spark, state.select("a", "key").distinct(), sets)
     state = state.join(about, ["a", "key"])
-    state = materialize(spark, state.select("bucket", "key", "c", "d", "t", "low", "lacks", "more", (F.col("c") == F.col("main")).alias("is_main")), "mixed")
+    state = materialize(spark, state.select("bucket", "part", "parts", "key", "c", "d", "t", "low", "lacks", "more", (F.col("c") == F.col("main")).alias("is_main")), "mixed")
     # a link has so much in common; two texts have no more than the leader's weight without what either
     # lacks, and what both have beyond it
     enough = F.lit(threshold / (1 + threshold) - 1e-6)
     sum_of = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
-    least = state.groupBy("bucket").agg(F.min("t").alias("t_min"))
-    few = state.filter("not is_main").join(least, "bucket").filter(F.col("low") - sum_of(F.col("lacks")) + F.col("more") >= enough * (F.col("t") + F.col("t_min")))
-    few = few.select("bucket", F.col("key").alias("x"), F.col("c").alias("cx"), F.col("d").alias("dx"), F.col("t").alias("tx"), F.col("lacks").alias("lx"), F.col("more").alias("mx"))
+    least = state.groupBy("bucket").agg(F.min("t").alias("t_min"), F.max("parts").alias("parts"))
+    few = _meet(state.filter("not is_main"), least).filter(F.col("low") - sum_of(F.col("lacks")) + F.col("more") >= enough * (F.col("t") + F.col("t_min")))
+    few = few.select("bucket", "parts", F.col("key").alias("x"), F.col("c").alias("cx"), F.col("d").alias("dx"), F.col("t").alias("tx"), F.col("lacks").alias("lx"), F.col("more").alias("mx"))
     common = F.col("low") - sum_of(F.zip_with("lx", "lacks", lambda u, v: F.greatest(u, v))) + F.least("mx", "more")
     near = (F.abs(F.col("dx") - F.col("d")) <= F.lit(1 - threshold + 1e-6)) & (common >= enough * (F.col("tx") + F.col("t")))
-    rest = few.join(state, "bucket").filter(near & (F.col("cx") != F.col("c")) & (F.col("is_main") | (F.col("x") < F.col("key"))))
+    # the few meet every part of their bucket
+    rest = _meet(state, few).filter(near & (F.col("cx") != F.col("c")) & (F.col("is_main") | (F.col("x") < F.col("key"))))
     rest = materialize(spark, rest.select(F.least("x", "key").alias("a"), F.greatest("x", "key").alias("b")).distinct(), "rest")
     if rest.limit(1).count():
         more = _verified(spark, rest, sets, "rest").filter(F.col("sim") >= F.lit(threshold))
@@ -474,9 +452,23 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     return materialize(spark, found, "classes"), links
 
 
+def _in_parts(members: DataFrame) -> DataFrame:
+    """Adds to members (bucket, key, k) the number of parts of their bucket, and the part each is in."""
+    parts = F.ceil(F.col("k") / F.lit(PART_ROWS)).cast("int")
+    return members.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+
+
+def _meet(members: DataFrame, about: DataFrame) -> DataFrame:
+    """Members (bucket, part) with the rows ``about`` (bucket, parts) their bucket, which go to all its parts: no
+    task holds more of a bucket than a part of it."""
+    spread = about.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - F.lit(1)))).drop("parts")
+    return members.join(spread, ["bucket", "part"])
+
+
 def _main(state: DataFrame) -> DataFrame:
-    """(bucket, main): the component with the most members."""
-    return state.groupBy("bucket", "c").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("c", F.struct("n", "c")).alias("main"))
+    """(bucket, parts, main): the component with the most members."""
+    each = state.groupBy("bucket", "c").agg(F.count("*").alias("n"), F.max("parts").alias("parts"))
+    return each.groupBy("bucket").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.max("parts").alias("parts"))
 
 
 def _against_leader(spark: SparkSession, pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -510,11 +502,11 @@ def _against_leader(spark: SparkSession, pairs: DataFrame, sets: DataFrame) -> D
 
 
 def _state(spark: SparkSession, members: DataFrame, comp: DataFrame, name: str) -> DataFrame:
-    """(bucket, key, a, score, c): the members, with their components, of buckets that hold several."""
-    now = members.join(comp.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", "a", "score", F.coalesce("component", "key").alias("c"))
+    """(bucket, part, parts, key, a, score, c): the members, with their components, of buckets that hold several."""
+    now = members.join(comp.withColumnRenamed("node", "key"), "key", "left").select("bucket", "part", "parts", "key", "a", "score", F.coalesce("component", "key").alias("c"))
     now = materialize(spark, now, f"{name}-all")
-    mixed = now.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low != high").select("bucket")
-    return materialize(spark, now.join(mixed, "bucket"), name)
+    mixed = now.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max("parts").alias("parts")).filter("low != high").select("bucket", "parts")
+    return materialize(spark, _meet(now, mixed), name)
 
 
 def text_key(text: Column) -> Column:

@@ -290,9 +290,16 @@ def test_vectors_query(spark, sf):
     same(E.query(spark, sf), E.SQL, sf)
 
 
-def test_components_in_rounds(spark, monkeypatch):
-    monkeypatch.setattr(N, "ONE_TASK_LINKS", 0)
-    test_components(spark)
+def test_plan_of_large_buckets_gives_the_same(make, monkeypatch):
+    """Bucket sizes from which pivots are drawn and parts are made decide about plans, not about classes."""
+    texts = corpus(5)
+    want, _ = brute(texts)
+    for small, rounds, part in ((0, 0, 2), (2, 2, 3)):
+        monkeypatch.setattr(N, "SMALL", small)
+        monkeypatch.setattr(N, "PIVOT_ROUNDS", rounds)
+        monkeypatch.setattr(N, "PART_ROWS", part)
+        got = {r.doc_id: r.class_id for r in N.label(make(*enumerate(texts))).collect()}
+        assert [got[i] for i in range(len(texts))] == want
 
 
 def test_star_of_copies_that_are_not_near_one_another(make):
