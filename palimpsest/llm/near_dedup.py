@@ -329,21 +329,27 @@ def components(spark: SparkSession, links: DataFrame, name: str = "components")
     for turn in range(64):
         # large-star: neighbours above u meet the smallest of u's neighbourhood
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = materialize(spark, both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{name}-least")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        # small-star: neighbours below u, and u itself, meet the smallest of them
         large = materialize(spark, large.distinct(), f"{name}-large")
-        low = materialize(spark, large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), f"{name}-low")
-        small = large.join(low.filter("n > 1"), "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        small = materialize(spark, small.distinct(), f"{name}-{turn}")
-        # stars alone are left when no node is both above and below another, and each is below one
-        if not low.filter("n > 1").limit(1).count() and not small.join(small.select(F.col("v").alias("u")).distinct(), "u", "left_semi").limit(1).count():
-            tops = small.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-            return materialize(spark, small.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(tops), f"{name}-joined")
-        edges = small
+        # small-star: neighbours below u, and u itself, meet the smallest of them
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u != v")
+        edges = materialize(spark, small.distinct(), f"{name}-{turn}")
+        # stars alone are left when each node is below one other at most, and none of these is below another
+        ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("top")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("below"), F.lit(1).alias("top")))
+        if not ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("top").alias("top")).filter("below + top > 1").limit(1).count():
+            tops = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(tops)
     raise RuntimeError("components did not settle in 64 rounds")
 
 
+def _joined(spark: SparkSession, comp: DataFrame, more: DataFrame, name: str) -> DataFrame:
+    """``comp`` (node, component) after ``more`` links: what is known is a star a component, which settles fast."""
+    known = comp.filter("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return components(spark, known.unionByName(more.select("a", "b")), name) if more.limit(1).count() else comp
+
+
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(members, links): members has digest, node (smallest id of the same text), n (rows of that
     text), component (smallest node of the class); links has a, b, sim between different texts."""
@@ -419,8 +425,8 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
             break
         others = _meet(state.drop("a", "score"), pivot).filter(F.col("c") != F.col("ca")).select("a", F.col("key").alias("b"))
         more = _verified(spark, others, sets, f"pivot-{turn}").filter(F.col("sim") >= F.lit(threshold))
-        links = materialize(spark, links.unionByName(more), f"links-{turn}")
-        comp = components(spark, links, f"components-{turn}")
+        links = links.unionByName(more)
+        comp = _joined(spark, comp, more, f"components-{turn}")
 
     # what leaders and pivots don't tell: members of one bucket that are still in different components
     state = _state(spark, members, comp, "state")
@@ -443,9 +449,8 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     rest = materialize(spark, rest.select(F.least("x", "key").alias("a"), F.greatest("x", "key").alias("b")).distinct(), "rest")
     if rest.limit(1).count():
         more = _verified(spark, rest, sets, "rest").filter(F.col("sim") >= F.lit(threshold))
-        if more.limit(1).count():
-            links = materialize(spark, links.unionByName(more), "links")
-            comp = components(spark, links, "again")
+        links = links.unionByName(more)
+        comp = _joined(spark, comp, more, "again")
 
     known = groups.select(F.col("mark"), "digest", "node", "n")
     found = known.join(comp.select(F.col("node").alias("mark"), "component"), "mark", "left").withColumn("component", F.coalesce("component", "mark"))
