@@ -44,7 +44,7 @@ def measures(text: str | None) -> list[float]:
     t = text or ""
     ws = t.split()
     n, k = max(1, len(t)), max(1, len(ws))
-    letters = max(1, sum(map(str.isalpha, t))) if len(t) < 2000 else max(1, len(re.findall(r"[^\W\d_]", t)))
+    letters = max(1, len(re.findall(r"[^\W\d_]", t)))
     upper = len(re.findall(r"[A-ZÀ-ÖØ-Þ]", t))
     counts = Counter(ws)
     top = counts.most_common(1)[0][1] if ws else 0

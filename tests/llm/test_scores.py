@@ -84,7 +84,6 @@ def test_fold_is_the_crc(spark):
 def test_toxicity_of_odd_inputs(spark, make):
     docs = make((1, None), (2, ""), (3, "you idiot"), (3, "you idiot"), (None, "fine"))
     labels = spark.createDataFrame([(1, 1, 0), (2, 1, 0)], "doc_id long, quality int, toxic int")
-    assert {r.score for r in T.score(docs, T.fit(docs, labels)).collect()} < {1.0} or True
     assert all(r.score < 0.01 for r in T.score(docs, T.fit(docs, labels)).collect())  # none is toxic
     rows = [(i, f"word{i} the idiot said moron" if i % 2 else f"word{i} the fine day was good") for i in range(60)]
     marks = spark.createDataFrame([(i, 1, i % 2) for i in range(60)] + [(1, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
@@ -116,6 +115,60 @@ def test_quality_on_unseen_labels(spark):
     assert sum(r.keep != bool(r.quality) for r in both) <= 0.04 * len(both)
 
 
+def test_quality_posterior_by_hand(spark):
+    """Priors and posteriors of the whole query again, in plain Python."""
+    import math
+    from collections import defaultdict
+
+    docs = {r.doc_id: (r.source, r.lang) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = Q.query(spark, SF).collect()
+    host, path = defaultdict(list), defaultdict(list)
+    for r in rows:
+        host[docs[r.doc_id][0]].append(r.p_text)
+        path[docs[r.doc_id]].append(r.p_text)
+    n, mean = len(rows), sum(r.p_text for r in rows) / len(rows)
+    between = sum(len(x) * (sum(x) / len(x) - mean) ** 2 for x in host.values())
+    spread = (between - (len(host) - 1) * mean * (1 - mean)) / (n - sum(len(x) ** 2 for x in host.values()) / n)
+    strength = min(Q.MOST_STRENGTH, max(Q.LEAST_STRENGTH, mean * (1 - mean) / spread - 1 if spread > 0 else Q.MOST_STRENGTH))
+    for r in rows:
+        h, p = docs[r.doc_id][0], docs[r.doc_id]
+        at_host = (sum(host[h]) + strength * mean) / (len(host[h]) + strength)
+        at_path = (sum(path[p]) + strength * at_host) / (len(path[p]) + strength)
+        shift = max(-Q.MOST_SHIFT, min(Q.MOST_SHIFT, math.log(at_path / (1 - at_path)) - math.log(mean / (1 - mean))))
+        odds = r.p_text / (1 - r.p_text) * math.exp(shift)
+        assert abs(r.host_prior - at_host) < 1e-6 and abs(r.path_prior - at_path) < 1e-6
+        assert abs(r.score - odds / (1 + odds)) < 1e-6 and r.keep == (r.score >= Q.THRESHOLD)
+
+
+def test_long_texts_are_measured_alike():
+    text = "Words ½ ² Ⅷ of a plain sentence. "
+    a, b = Q.measures(text * 50), Q.measures(text * 70)
+    assert abs(a[Q.MEASURES.index("upper")] - b[Q.MEASURES.index("upper")]) < 1e-9
+
+
+def test_toxicity_by_hand():
+    """Log-odds of a chain of nodes under Dirichlet priors, and the score of a text, computed again."""
+    import math
+
+    got = T.lexicon({"idi*": (8, 2), "idiot": (3, 0)}, 0.1)
+    wide = (8 + T.STRENGTH * 0.1) / (10 + T.STRENGTH)
+    narrow = (3 + T.STRENGTH * wide) / (3 + T.STRENGTH)
+    odds = lambda p: math.log(p / (1 - p) / (0.1 / 0.9))
+    assert got == {"idi*": round(min(T.CLIP, odds(wide)), 4), "idiot": round(min(T.CLIP, odds(narrow)), 4)}
+    model = T.Model(scores=got, lam=0.9, log_k=-1.0, weights=[-3.0, 0.5, 1.5])
+    best, total, n = T.Scorer(model).evidence("you idiot you")
+    want = 0.9 * (got["idiot"] - T.DRIFT) - (-1.0 + math.log(3))
+    assert abs(best - want) < 1e-9 and n == (want > -math.log(T.SIGNIFICANT)) and abs(total - n * want) < 1e-9
+    z = -3.0 + 0.5 * want + 1.5 * math.log1p(total)
+    assert abs(T.Scorer(model).probability(best, total) - 1 / (1 + math.exp(-z))) < 1e-9
+
+
+def test_toxicity_of_a_very_long_text():
+    model = T.Model(scores={"idiot": 4.0})
+    found, n = T.Scorer(model).passages("fine day " * 300_000 + "idiot idiot " + "fine day " * 300_000)
+    assert n == 1_200_002 and [(a, b) for a, b, _ in found] == [(600_000, 600_001)]
+
+
 def test_site_priors_shrink(spark):
     rows = [("big", "a", 0.9)] * 400 + [("big", "b", 0.1)] * 2 + [("small", "a", 0.1)] * 2 + [("poor", "a", 0.2)] * 400 + [(None, None, 0.5)]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, host string, path string, p double")
