@@ -22,10 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where
-    that is unset (a single machine, as in tests)."""
+    that is unset on a single machine, as in tests. A cluster without that setting is an error: a folder of
+    one machine would be written in parts that others don't see."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="palimpsest-")
@@ -122,14 +125,14 @@ def slim(batches: Iterable, rows: int = 1000) -> Iterator:
             yield b.slice(i, rows)
 
 
-def arrow_rows(df: DataFrame, run: Callable, schema: str) -> DataFrame:
-    """``df.mapInArrow`` where ``run(batch)`` gives the columns of the rows made of one batch."""
+def arrow_rows(df: DataFrame, run: Callable, schema: str, rows: int = 1000) -> DataFrame:
+    """``df.mapInArrow`` where ``run(batch)`` gives the columns of what is made of ``rows`` rows at most."""
     kinds = arrow_schema(schema)
 
     def each(batches):
         import pyarrow as pa
 
-        for b in slim(batches):
+        for b in slim(batches, rows):
             yield pa.RecordBatch.from_pydict(run(b), schema=kinds)
 
     return df.mapInArrow(each, schema)
@@ -158,6 +161,7 @@ def once(key, load: Callable):
         _loaded[key] = load()
     return _loaded[key]
 
+
 def latest(slot: str, key, load: Callable):
     """Per worker process, as ``once``, but one value a slot: another key takes its place."""
     if slot not in _loaded or _loaded[slot][0] != key:
@@ -191,7 +195,6 @@ def _is_latin(text: str) -> bool:
     return (not left and "\u0130" not in text) or not _BEYOND.search(text)
 
 
-
 class IdEncoder:
     """Ids, as little-endian unsigned 32-bit bytes, of texts under a file of the tokenizers library.
 

@@ -7,13 +7,14 @@ writes frames of palette indices, losslessly.
 
 ``frames`` turns a column of GIF files into one row per frame with its time and a colour histogram.
 
-The query stores each text as frames of 24 x 24 indices under a grey palette, reads the stored file
-back and digests it.
+The query stores each text as frames of 24 x 24 indices, under a palette of three bits of red, three of green and
+two of blue, in a written table of files with their timed frames and colour histograms; it reads the stored
+files back from there, decodes them and digests what they hold.
 
 Defined results: a null text counts as empty and gives one frame of padding; equal texts give equal
-values; a null or damaged file gives no frames and the reason in ``error``; a code stream that ends
-early leaves the rest of its frame at index 0; repeated rows are handled each by itself; an empty table
-gives no rows.
+values; a null or damaged file, or one that declares more than MAX_CANVAS pixels or frames of more than MAX_PIXELS
+together, gives no frames and the reason in ``error``; a code stream that ends early leaves the rest of its
+frame at index 0; repeated rows are handled each by itself; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,13 +28,15 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, table
+from .common import arrow_rows, arrow_schema, materialize, slim, table
 
 SIDE = 24
 FRAME_BYTES = SIDE * SIDE
 PAD = 255
 DELAY_CS = 4
-GREY = bytes(v for i in range(256) for v in (i, i, i))
+COLOURS = bytes(v for i in range(256) for v in ((i >> 5) * 255 // 7, (i >> 2 & 7) * 255 // 7, (i & 3) * 85))
+#: What a file may declare: pixels of the canvas, and of all frames together.
+MAX_CANVAS, MAX_PIXELS = 1 << 24, 1 << 27
 
 
 @dataclass
@@ -224,8 +227,11 @@ def decode(file: bytes) -> Image:
     if flags & 0x80:
         n = 3 << ((flags & 7) + 1)
         palette, at = file[at : at + n], at + n
+    if width * height > MAX_CANVAS:
+        raise ValueError(f"a canvas of {width} x {height}")
     image = Image(width, height, background, palette, None, [])
     control = (0, 0, None)
+    pixels = 0
     try:
         while True:
             kind = file[at]
@@ -244,6 +250,9 @@ def decode(file: bytes) -> Image:
                 raise ValueError(f"block of unknown kind {kind}")
             left, top, w, h, flags = struct.unpack_from("<HHHHB", file, at + 1)
             at += 10
+            pixels += w * h
+            if pixels > MAX_PIXELS:
+                raise ValueError(f"frames of more than {MAX_PIXELS} pixels")
             own = palette
             if flags & 0x80:
                 n = 3 << ((flags & 7) + 1)
@@ -293,35 +302,71 @@ def histogram(canvas) -> list[int]:
     return np.bincount(rgb[:, 0] << 4 | rgb[:, 1] << 2 | rgb[:, 2], minlength=64).tolist()
 
 
+def histograms(image: Image) -> list[list[int]]:
+    """``histogram`` of the canvas at each frame. Where every frame covers the canvas and hides nothing of
+    itself, the canvas is that frame, and all of them are counted at once."""
+    import numpy as np
+
+    size = image.width * image.height
+    whole = all((f.left, f.top, f.width, f.height, f.transparent, f.palette) == (0, 0, image.width, image.height, None, image.palette) for f in image.frames)
+    if not whole or not size or not image.frames:
+        return [histogram(c) for c in shown(image)]
+    pal = np.zeros((256, 3), np.uint8)
+    colours = np.frombuffer(image.palette, np.uint8).reshape(-1, 3)
+    pal[: len(colours)] = colours
+    pal = pal.astype(np.int64) >> 6
+    kinds = pal[:, 0] << 4 | pal[:, 1] << 2 | pal[:, 2]
+    idx = np.frombuffer(b"".join(f.indices for f in image.frames), np.uint8)
+    at = kinds[idx] + np.repeat(np.arange(len(image.frames)) << 6, size)
+    return np.bincount(at, minlength=64 * len(image.frames)).reshape(-1, 64).tolist()
+
+
+_FRAME = "frame int, at_cs int, delay_cs int, disposal int, transparent int, width int, height int, indices binary, histogram array<int>"
+
+
+def _timed(image: Image) -> list[dict]:
+    """A row per frame, in order of time."""
+    rows, at = [], 0
+    for n, (f, h) in enumerate(zip(image.frames, histograms(image), strict=True)):
+        rows.append({"frame": n, "at_cs": at, "delay_cs": f.delay_cs, "disposal": f.disposal, "transparent": f.transparent, "width": f.width, "height": f.height, "indices": f.indices, "histogram": h})
+        at += f.delay_cs
+    return rows
+
+
 def frames(df: DataFrame, file: str = "gif", key: str = "doc_id") -> DataFrame:
     """One row per frame of each file: key, frame, at_cs, delay_cs, disposal, transparent, width, height,
     indices, histogram array<int>, error. A file that can't be read gives one row with the error."""
-
-    def run(b):
-        keys = b["key"].to_pylist()
-        out: dict[str, list] = {k: [] for k in ("key", "frame", "at_cs", "delay_cs", "disposal", "transparent", "width", "height", "indices", "histogram", "error")}
-        for k, data in zip(keys, b["gif"].to_pylist(), strict=True):
-            try:
-                if data is None:
-                    raise ValueError("no file")
-                image, at = decode(data), 0
-                for n, (f, canvas) in enumerate(zip(image.frames, shown(image), strict=True)):
-                    for name, v in zip(out, (k, n, at, f.delay_cs, f.disposal, f.transparent, f.width, f.height, f.indices, histogram(canvas), None), strict=True):
-                        out[name].append(v)
-                    at += f.delay_cs
-            except ValueError as e:
-                for name in out:
-                    out[name].append({"key": k, "error": str(e)}.get(name))
-        return out
-
-    kind = df.schema[key].dataType.simpleString()
-    found = arrow_rows(df.select(F.col(key).alias("key"), F.col(file).alias("gif")), run, f"key {kind}, frame int, at_cs int, delay_cs int, disposal int, transparent int, width int, height int, indices binary, histogram array<int>, error string")
+    schema = f"key {df.schema[key].dataType.simpleString()}, {_FRAME}, error string"
+    kinds = arrow_schema(schema)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in slim(batches):
+            rows, size = [], 0
+            for k, data in zip(b["key"].to_pylist(), b["gif"].to_pylist(), strict=True):
+                try:
+                    if data is None:
+                        raise ValueError("no file")
+                    found = _timed(decode(data))
+                except ValueError as e:
+                    found = [{"error": str(e)}]
+                for r in found:
+                    rows.append({"key": k} | r)
+                    size += len(r.get("indices") or b"") + 1000
+                    if size > 1 << 24:  # rows of few files at a time
+                        yield pa.RecordBatch.from_pylist(rows, schema=kinds)
+                        rows, size = [], 0
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema=kinds)
+
+    found = df.select(F.col(key).alias("key"), F.col(file).alias("gif")).mapInArrow(run, schema)
     return found.withColumnRenamed("key", key)
 
 
-def gif_of(payload: bytes) -> bytes:
+def image_of(payload: bytes) -> Image:
     parts = [payload[i : i + FRAME_BYTES] for i in range(0, len(payload), FRAME_BYTES)]
-    return encode(Image(SIDE, SIDE, 0, GREY, 0, [Frame(0, 0, SIDE, SIDE, p, GREY, DELAY_CS, 1) for p in parts]))
+    return Image(SIDE, SIDE, 0, COLOURS, 0, [Frame(0, 0, SIDE, SIDE, p, COLOURS, DELAY_CS, 1) for p in parts])
 
 
 def payload_of(text: str | None) -> tuple[bytes, int]:
@@ -330,43 +375,53 @@ def payload_of(text: str | None) -> tuple[bytes, int]:
 
 
 def feature(image: Image) -> str:
-    """Frames, playing time, and the share (in ten-thousandths of all pixels) of 16 levels of grey over
-    the canvases shown. Frames here cover the canvas and have no transparent index, so a canvas is its
-    frame under its palette."""
+    """Frames, playing time, and the share (in ten-thousandths of all pixels shown) of each of 64 colours."""
     import numpy as np
 
-    counts = np.zeros(256, np.int64)
-    for f in image.frames:
-        counts += np.bincount(np.frombuffer(f.indices, np.uint8), minlength=256)
-    level = np.frombuffer(image.palette, np.uint8)[::3] >> 4
-    by_level = np.bincount(level, weights=counts, minlength=16).astype(np.int64)
-    return f"frames={len(image.frames)};cs={sum(f.delay_cs for f in image.frames)};grey=" + ",".join(str(int(x)) for x in by_level * 10000 // max(1, by_level.sum()))
+    by_colour = np.array(histograms(image), np.int64).reshape(-1, 64).sum(axis=0)
+    return f"frames={len(image.frames)};cs={sum(f.delay_cs for f in image.frames)};colours=" + ",".join(map(str, (by_colour * 10000 // max(1, int(by_colour.sum()))).tolist()))
+
+
+def _each_once(values: list, run) -> list:
+    """``run`` of each value, once for equal ones: copies of a text are neighbours often enough."""
+    known: dict = {}
+    for v in values:
+        if v not in known:
+            known[v] = run(v)
+    return [known[v] for v in values]
 
 
 def store(docs: DataFrame) -> DataFrame:
-    """Documents as GIF files: doc_id, n_bytes, gif."""
+    """Documents as GIF files with what is in them: doc_id, n_bytes, gif, frames (their times, and how many
+    pixels each of 64 colours has)."""
+
+    def one(text):
+        payload, n = payload_of(text)
+        image = image_of(payload)
+        return n, encode(image), [{k: r[k] for k in ("at_cs", "delay_cs", "histogram")} for r in _timed(image)]
 
     def run(b):
-        payloads = [payload_of(t) for t in b["text"].to_pylist()]
-        return {"doc_id": b["doc_id"], "n_bytes": [n for _, n in payloads], "gif": [gif_of(p) for p, _ in payloads]}
+        sizes, files, timed = zip(*_each_once(b["text"].to_pylist(), one), strict=True)
+        return {"doc_id": b["doc_id"], "n_bytes": sizes, "gif": files, "frames": timed}
 
-    return arrow_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_bytes long, gif binary")
+    return arrow_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_bytes long, gif binary, frames array<struct<at_cs:int,delay_cs:int,histogram:array<int>>>", rows=100)
 
 
 def digest(stored: DataFrame) -> DataFrame:
     """Reads stored files back: sizes, digests and features of what they hold."""
 
+    def one(gif):
+        image = decode(gif)
+        payload = b"".join(f.indices for f in image.frames)
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(gif), hashlib.sha256(gif).hexdigest(), feature(image)
+
     def run(b):
-        out: dict[str, list] = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
-        for gif in b["gif"].to_pylist():
-            image = decode(gif)
-            payload = b"".join(f.indices for f in image.frames)
-            for name, v in zip(out, (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(gif), hashlib.sha256(gif).hexdigest(), feature(image)), strict=True):
-                out[name].append(v)
-        return {"doc_id": b["doc_id"], "n_bytes": b["n_bytes"]} | out
+        names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+        found = zip(*_each_once(b["gif"].to_pylist(), one), strict=True)
+        return {"doc_id": b["doc_id"], "n_bytes": b["n_bytes"]} | dict(zip(names, found, strict=True))
 
-    return arrow_rows(stored, run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return arrow_rows(stored.select("doc_id", "n_bytes", "gif"), run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(store(table(spark, sf_dir, "documents")))
+    return digest(materialize(spark, store(table(spark, sf_dir, "documents")), "media"))

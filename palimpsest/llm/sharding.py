@@ -6,11 +6,13 @@ last such count below the number of shards names its shard. Appending a shard mo
 next move falls on it, 1/(n+1) of all, and none between old shards.
 
 Rows get a gapless slot in their shard from counts of the 1024 cells of each shard (a table of bounded
-size) and a rank in the cell, so no task sees a whole shard.
+size) and a rank in the cell, so no task sees a whole shard. The cell comes from id and text, so the rows of one
+id are dealt over all cells; rows that repeat both share one.
 
-Defined results: a null text has size 1 and the crc of no bytes; a null id counts as id 0 with its
-own cell; repeated rows share a shard and take slots one after another (ties by id, crc and size are
-interchangeable); an empty table gives no rows; other columns pass through ``assign``.
+Defined results: a null text has size 1 and the crc of no bytes; a null id counts as id 0; repeated rows share a
+shard and take slots one after another (ties by id, crc and size are interchangeable); an empty table gives no
+rows; other columns pass through ``assign`` and ``slots``, also those named like the ones in between; a key that
+isn't through after the bounded number of jumps is an error, never a row without a shard.
 """
 
 from __future__ import annotations
@@ -56,7 +58,8 @@ def jump(key: Column, shards: int) -> Column:
         return F.when(at["j"] < F.lit(shards), moved).otherwise(at)
 
     end = F.aggregate(F.sequence(F.lit(1), F.lit(steps + 1)), start, step)
-    return F.when(end["j"] >= F.lit(shards), F.struct(end["b"].alias("b"), end["j"].alias("j")))
+    through = F.struct(end["b"].alias("b"), end["j"].alias("j"))
+    return through if steps == shards else F.when(end["j"] >= F.lit(shards), through).otherwise(F.raise_error(F.lit("a key has more jumps than expected")).cast("struct<b:bigint,j:bigint>"))
 
 
 def assign(df: DataFrame, key: str = "doc_id", shards: int = SHARDS, shard: str = "shard", grown: str = "grown_shard") -> DataFrame:
@@ -69,26 +72,28 @@ def assign(df: DataFrame, key: str = "doc_id", shards: int = SHARDS, shard: str
 
 def slots(df: DataFrame, order: list[str], shard: str = "shard", cell: str = "cell", slot: str = "slot") -> DataFrame:
     """Adds a gapless slot per shard: the rows in the cells before, and the rank in the cell."""
-    counts = df.groupBy(shard, cell).agg(F.count(F.lit(1)).alias("__n"))
-    before = F.sum("__n").over(Window.partitionBy(shard).orderBy(F.col(cell).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select(F.col(shard).alias("__s"), F.col(cell).alias("__c"), F.coalesce(before, F.lit(0)).alias("__before"))
-    rank = F.row_number().over(Window.partitionBy(shard, cell).orderBy(*[F.col(c).asc_nulls_first() for c in order]))
-    ranked = df.withColumn("__rank", rank)
+    n, s, c, b, r = fresh(df, "__n", "__s", "__c", "__before", "__rank")
+    counts = df.groupBy(shard, cell).agg(F.count(F.lit(1)).alias(n))
+    before = F.sum(n).over(Window.partitionBy(shard).orderBy(F.col(cell).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select(F.col(shard).alias(s), F.col(cell).alias(c), F.coalesce(before, F.lit(0)).alias(b))
+    rank = F.row_number().over(Window.partitionBy(shard, cell).orderBy(*[F.col(x).asc_nulls_first() for x in order]))
+    ranked = df.withColumn(r, rank)
     # at most shards x CELLS rows
-    joined = ranked.join(F.broadcast(offsets), (F.col(shard) == F.col("__s")) & F.col(cell).eqNullSafe(F.col("__c")))
-    return joined.withColumn(slot, F.col("__before") + F.col("__rank") - F.lit(1)).drop("__s", "__c", "__before", "__rank")
+    joined = ranked.join(F.broadcast(offsets), F.col(shard).eqNullSafe(F.col(s)) & F.col(cell).eqNullSafe(F.col(c)))
+    return joined.withColumn(slot, F.col(b) + F.col(r) - F.lit(1)).drop(s, c, b, r)
 
 
-def cell_of(key: Column) -> Column:
-    """A cell from the key by a step of the same generator; null ids have one of their own."""
-    return F.when(key.isNotNull(), F.shiftrightunsigned(_times(_times(key.cast("long"))), 44).bitwiseAND(F.lit(CELLS - 1)).cast("int"))
+def cell_of(doc_id: Column, crc: Column) -> Column:
+    """A cell from id and checksum by two steps of the same generator."""
+    seed = F.coalesce(doc_id.cast("long"), F.lit(0)).bitwiseXOR(F.shiftleft(crc, 31))
+    return F.shiftrightunsigned(_times(_times(seed)), 44).bitwiseAND(F.lit(CELLS - 1)).cast("int")
 
 
 def place(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    rows = assign(rows, shards=shards).withColumn("cell", cell_of(F.col("doc_id")))
+    rows = assign(rows, shards=shards).withColumn("cell", cell_of(F.col("doc_id"), F.col("text_crc32")))
     return slots(rows, ["doc_id", "text_crc32", "size"]).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 

@@ -89,6 +89,34 @@ def test_local_palette_interlace_and_damage():
             G.decode(whole[:cut])
 
 
+def test_histograms_are_those_of_the_canvas():
+    rnd = random.Random(3)
+    plain = G.image_of(bytes(rnd.randrange(256) for _ in range(3 * 576)))
+    odd = image((0, 0, 2, 2, [1, 1, 1, 1], {"disposal": 2}), (0, 0, 2, 1, [2, 0], {"transparent": 0}))
+    for im in (plain, odd):
+        assert G.histograms(im) == [G.histogram(c) for c in G.shown(im)]
+    assert G.histograms(G.Image(2, 2, 0, b"", None, [])) == []
+
+
+def test_declared_sizes_are_bounded(spark):
+    import struct
+
+    head = b"GIF89a" + struct.pack("<HHBBB", 65535, 65535, 0, 0, 0)
+    huge = b"," + struct.pack("<HHHHB", 0, 0, 65535, 65535, 0) + b"\x02\x00"
+    small = b"GIF89a" + struct.pack("<HHBBB", 2, 2, 0, 0, 0)
+    good = G.encode(image((0, 0, 2, 2, [1, 2, 3, 0], {}), (0, 0, 2, 2, [0, 2, 3, 0], {})))
+    df = spark.createDataFrame([(1, head + huge + b";"), (2, small + huge + b";"), (3, good)], "doc_id long, gif binary")
+    rows = G.frames(df).collect()
+    assert [(r.doc_id, r.error is None) for r in rows] == [(1, False), (2, False), (3, True), (3, True)]
+    assert [r.frame for r in rows if r.doc_id == 3] == [0, 1]
+
+
+def test_gif_of_a_very_long_text(make):
+    text = "".join(chr(97 + i * i % 26) for i in range(2_000_000))
+    (r,) = G.digest(G.store(make((1, text)))).collect()
+    assert r.n_bytes == 2_000_000 and r.payload_bytes == -(-2_000_000 // 576) * 576
+
+
 def test_gif_query(spark, make, sf):
     texts = {1: None, 2: "", 3: "x" * 576, 4: "é" * 300, 5: "same", 6: "same"}
     rows = {r.doc_id: r for r in G.digest(G.store(make(*texts.items()))).collect()}
@@ -101,6 +129,9 @@ def test_gif_query(spark, make, sf):
     stored = G.store(make(*texts.items()))
     frames = G.frames(stored).collect()
     assert {r.doc_id for r in frames} == set(texts) and all(sum(r.histogram) == 576 for r in frames)
+    for r in stored.collect():
+        own = sorted((f for f in frames if f.doc_id == r.doc_id), key=lambda f: f.frame)
+        assert [(f.at_cs, f.delay_cs, f.histogram) for f in r.frames] == [(f.at_cs, f.delay_cs, f.histogram) for f in own]
     bad = spark.createDataFrame([(1, b"no"), (2, None)], "doc_id long, gif binary")
     assert {r.error for r in G.frames(bad).collect()} == {"no GIF signature", "no file"}
     whole = G.query(spark, sf).collect()
@@ -149,6 +180,17 @@ def test_sharding_query(spark, make, sf):
     assert sharding.place(docs.limit(0)).count() == 0
 
 
+def test_slots_of_hot_ids_and_clashing_names(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.crc32(F.col("id").cast("string").cast("binary")).alias("crc"), F.lit("x").alias("__n"), F.lit("y").alias("__rank"))
+    cells = df.withColumn("cell", sharding.cell_of(F.col("doc_id"), F.col("crc"))).withColumn("shard", F.lit(0))
+    assert cells.select("cell").distinct().count() > 900
+    out = sharding.slots(cells, ["doc_id", "crc"])
+    assert out.columns == [*cells.columns, "slot"] and out.first()["__n"] == "x"
+    assert sorted(r.slot for r in out.collect()) == list(range(4000))
+
+
 def test_sharding_query_on_whole_tables(spark, sf):
     """Hashes of texts are beyond the SQL at hand, so the query is held against the published algorithm."""
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
