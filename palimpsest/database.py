@@ -9,9 +9,14 @@ from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import documents, graph, retention, search, versions
+from .operators import documents, graph, search, versions
 from .schema import ROW
-from .sources.event_log import EventLog
+from .sources.event_log import STATE_EVERY, EventLog
+from .sources.vectors import VectorStore
+
+
+#: Rows that ``run`` hands over as plain values.
+PAGE = 10_000
 
 
 @dataclass
@@ -19,22 +24,34 @@ class Settings:
     ship_interval: timedelta = timedelta(seconds=30)
     snapshot_interval: timedelta = timedelta(hours=1)
     retention: timedelta | None = None
+    state_every: int = STATE_EVERY
     searcher: search.Searcher | None = None
+    #: Numbers in a vector; none where there is no vector search.
+    dimension: int | None = None
     reranker: Callable[[DataFrame], DataFrame] | None = None
 
 
 class Database:
-    """Reads give lazy DataFrames; writes give nothing. A past state is read with ``as_of``."""
+    """Reads give lazy DataFrames; writes give nothing and are on disk when they return. A past state is read
+    with ``as_of``. ``events.keep_state()`` writes current state anew when enough has come since."""
 
     def __init__(self, spark: SparkSession, root: str, settings: Settings | None = None, points: DataFrame | None = None, sink=None):
-        self.spark, self.events, self.settings = spark, EventLog(spark, root), settings or Settings()
+        self.settings = settings or Settings()
+        self.spark, self.events = spark, EventLog(spark, root, self.settings.state_every)
         self.points, self.sink = points, sink
+        self.vectors = VectorStore(spark, f"{root.rstrip('/')}/vectors", self.settings.dimension) if self.settings.dimension else None
 
     def get(self, collection: str, key, as_of=None) -> DataFrame:
-        return documents.get(self.events.log(), collection, key, as_of, self.events.base())
+        log, base = self._needed(as_of)
+        return documents.get(log, collection, key, as_of, base)
 
     def find(self, collection: str, where: Iterable = (), as_of=None, order_by: str | None = None, desc: bool = False, limit: int | None = None, offset: int | None = None) -> DataFrame:
-        return documents.find(self.events.log(), collection, where, as_of, order_by, desc, limit, offset, self.events.base())
+        log, base = self._needed(as_of)
+        return documents.find(log, collection, where, as_of, order_by, desc, limit, offset, base)
+
+    def _needed(self, as_of=None) -> tuple[DataFrame, DataFrame]:
+        """The events and the stored state a read needs: no history for current state."""
+        return self.events.recent() if as_of is None else self.events.log(), self.events.base()
 
     def put(self, collection: str, key, document: dict | str, at=None) -> None:
         self.events.put(collection, key, document, at)
@@ -52,16 +69,25 @@ class Database:
         self.events.unrelate(source, kind, target)
 
     def related(self, node: str, types=(), direction: str = "both", as_of=None, limit: int | None = None, offset: int | None = None) -> DataFrame:
-        return graph.related(self.events.log(), node, types, direction, as_of, limit, offset, self.events.base())
+        log, base = self._needed(as_of)
+        return graph.related(log, node, types, direction, as_of, limit, offset, base)
 
     def edge_types(self) -> DataFrame:
-        return graph.edge_types(self.events.log(), self.events.base())
+        return graph.edge_types(*self._needed())
+
+    def index(self, collection: str, rows: DataFrame, text: str = "text") -> None:
+        """Gives the documents ``rows`` (key, and a column of text) vectors, all in batches on the executors."""
+        if self.settings.searcher is None or self.vectors is None:
+            raise ValueError("vector search is not configured")
+        self.vectors.upsert(collection, search.embed_column(rows, self.settings.searcher, text))
 
     def search(self, collection: str, near: str, where: Iterable = (), limit: int | None = None, offset: int | None = None) -> DataFrame:
         query = search.embed(self.settings.searcher, near)
-        if self.points is None:
+        points = self.points if self.points is not None else self.vectors.points() if self.vectors else None
+        if points is None:
             raise ValueError("SEARCH needs vector search, which is not configured")
-        return search.search(self.events.log(), search.latest_points(self.points), collection, query, where, limit, offset, self.events.base(), self.settings.reranker)
+        log, base = self._needed()
+        return search.search(log, search.latest_points(points), collection, query, where, limit, offset, base, self.settings.reranker)
 
     def purge(self, collection: str, before) -> int:
         """Drops history from before a time; shipped events of all collections from before it go too."""
@@ -76,7 +102,10 @@ class Database:
         if not age:
             return {}
         cutoff = datetime.now(UTC) - age
-        return {r.collection: self.purge(r.collection, cutoff) for r in retention.collections(self.events.log()).collect()}
+        gone = self.events.sweep(cutoff)
+        if self.sink is not None:
+            self.sink.purge(cutoff)
+        return gone
 
     def run(self, calls: Iterable[tuple]) -> dict:
         """Runs (verb, arguments...) in order up to the first that fails: results so far, and the error."""
@@ -96,12 +125,14 @@ class Database:
 
     @staticmethod
     def result(verb: str, found) -> dict:
-        """What a call gave, as plain values; meant for results of a page."""
+        """What a call gave, as plain values; a result of more than PAGE rows is an error, to be read as a DataFrame."""
         if verb == "purge":
             return {"purged": found}
         if not isinstance(found, DataFrame):
             return {}
-        rows = [r.asDict() for r in found.collect()]
+        rows = [r.asDict() for r in found.limit(PAGE + 1).collect()]
+        if len(rows) > PAGE:
+            raise ValueError(f"more than {PAGE} rows: give a limit, or read the DataFrame")
         if verb == "edge_types":
             return {"edge_types": [r["type"] for r in rows]}
         for r in rows:

@@ -13,7 +13,7 @@ for whatever isn't equal, a missing field included.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import reduce
 from typing import Any
@@ -51,12 +51,16 @@ def path_of(field: str, mode: str = LIVE) -> str:
     return "$" + "".join(f"['{p}']" for p in parts)
 
 
+def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, where ``value`` is computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 class _Value:
     """A variant and what it is, in the terms that comparisons need."""
 
-    def __init__(self, variant: Column, text: Column):
+    def __init__(self, variant: Column, kind: Column, text: Column):
         self.variant = variant
-        kind = F.schema_of_variant(variant)
         self.kind = kind
         self.missing = kind.isNull()
         self.null = F.coalesce(kind == "VOID", F.lit(False))
@@ -101,44 +105,48 @@ def _live_literal(x: Any) -> Column:
 _COMPARE = {"=": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}
 
 
-def _field(document: Column, field: str, mode: str) -> _Value:
+def _known(variant: Column, text: Callable[[Column], Column], use: Callable[[_Value], Column]) -> Column:
+    return _bind(variant, lambda x: _bind(F.schema_of_variant(x), lambda kind: use(_Value(x, kind, text(x)))))
+
+
+def _field(parsed: Column, document: Column, field: str, mode: str, use: Callable[[_Value], Column]) -> Column:
+    """``use`` of a field of the document whose parsed form is given."""
     path = path_of(field, mode)
-    found = F.try_variant_get(F.try_parse_json(document), path, "variant")
-    return _Value(found, F.get_json_object(document, path))
+    return _known(F.try_variant_get(parsed, path, "variant"), lambda _: F.get_json_object(document, path), use)
 
 
-def _element(x: Column) -> _Value:
-    return _Value(x, F.to_json(x))
+def _element(x: Column, use: Callable[[_Value], Column]) -> Column:
+    return _known(x, F.to_json, use)
 
 
 def _live_equal(v: _Value, x: Any) -> Column:
-    at = v.live()
-    return (at["rank"] > 0) & (at == _live_literal(x))
+    return _bind(v.live(), lambda at: (at["rank"] > 0) & (at == _live_literal(x)))
 
 
-def _live(document: Column, t: Term) -> Column:
-    v, op, x = _field(document, t.field, LIVE), t.op.lower(), t.value
-    at = v.live()
+def _live(v: _Value, t: Term) -> Column:
+    op, x = t.op.lower(), t.value
     if op in ("=", "!=") and x is None:
-        return at["rank"] == 0 if op == "=" else at["rank"] > 0
+        return (v.missing | v.null) if op == "=" else ~(v.missing | v.null)
     if op in _COMPARE:
-        return F.lit(False) if x is None else (at["rank"] > 0) & _COMPARE[op](at, _live_literal(x))
+        literal = None if x is None else _live_literal(x)
+        return F.lit(False) if x is None else _bind(v.live(), lambda at: (at["rank"] > 0) & _COMPARE[op](at, literal))
     if op == "in":
         if not isinstance(x, list):
             raise ValueError("IN takes a list")
-        return reduce(lambda a, b: a | b, [_live_equal(v, y) for y in x if y is not None], F.lit(False))
+        wanted = [_live_literal(y) for y in x if y is not None]
+        return _bind(v.live(), lambda at: (at["rank"] > 0) & reduce(lambda a, b: a | b, [at == y for y in wanted], F.lit(False)))
     if x is None:
         return F.lit(False)
     if isinstance(x, list):
         raise ValueError("CONTAINS takes one value")
-    some = lambda items: F.coalesce(F.exists(items, lambda e: _live_equal(_element(e), x)), F.lit(False))
+    some = lambda items: F.coalesce(F.exists(items, lambda e: _element(e, lambda w: _live_equal(w, x))), F.lit(False))
     array = F.try_variant_get(F.when(v.is_array, v.variant), "$", "array<variant>")
     members = F.map_values(F.try_variant_get(F.when(v.is_object, v.variant), "$", "map<string,variant>"))
     return F.when(v.is_array, some(array)).when(v.is_object, some(members)).otherwise(_live_equal(v, x))
 
 
-def _replay(document: Column, t: Term) -> Column:
-    v, op, x = _field(document, t.field, REPLAY), t.op.lower(), t.value
+def _replay(v: _Value, t: Term) -> Column:
+    op, x = t.op.lower(), t.value
     if op in ("=", "!="):
         equal = (v.missing | v.null) if x is None else v.equals(x)
         return equal if op == "=" else ~equal
@@ -149,13 +157,20 @@ def _replay(document: Column, t: Term) -> Column:
         same = [v.null if y is None else v.equals(y) for y in x] if isinstance(x, list) else []
         return reduce(lambda a, b: a | b, same, F.lit(False))
     array = F.try_variant_get(F.when(v.is_array, v.variant), "$", "array<variant>")
-    return F.coalesce(F.exists(array, lambda e: F.is_variant_null(e) if x is None else _element(e).equals(x)), F.lit(False))
+    return F.coalesce(F.exists(array, lambda e: F.is_variant_null(e) if x is None else _element(e, lambda w: w.equals(x))), F.lit(False))
 
 
 def matches(document: Column, where: Iterable, mode: str) -> Column:
-    """True where all terms hold; never null."""
+    """True where all terms hold; never null. The document is parsed once, and each field is looked at once."""
     one = _live if mode == LIVE else _replay
-    return reduce(lambda a, b: a & b, [F.coalesce(one(document, t), F.lit(False)) for t in terms(where)], F.lit(True))
+    fields: dict[str, list[Term]] = {}
+    for t in terms(where):
+        fields.setdefault(t.field, []).append(t)
+    if not fields:
+        return F.lit(True)
+    both = lambda found: reduce(lambda a, b: a & b, found)
+    of_field = lambda ts: lambda v: both([F.coalesce(one(v, t), F.lit(False)) for t in ts])
+    return _bind(F.try_parse_json(document), lambda parsed: both([_field(parsed, document, f, mode, of_field(ts)) for f, ts in fields.items()]))
 
 
 def order(document: Column, field: str, desc: bool, mode: str) -> list[Column]:
@@ -163,13 +178,14 @@ def order(document: Column, field: str, desc: bool, mode: str) -> list[Column]:
 
     LIVE puts missing and null first ascending and last descending; REPLAY puts missing last ascending
     and first descending, and ranks types it has no order for: null, boolean, number, text, others."""
-    v = _field(document, field, mode)
-    turn = (lambda c: c.desc()) if desc else (lambda c: c.asc())
     if mode == LIVE:
-        at = v.live()
-        return [turn(at[n]) for n in ("rank", "number", "rest", "text")]
-    kind = F.when(v.missing, 9).when(v.null, 0).when(v.is_bool, 1).when(v.is_number, 2).when(v.is_string, 3).otherwise(4)
-    return [turn(kind), turn(F.coalesce(v.number, F.lit(0.0))), turn(F.coalesce(v.string, F.lit("")))]
+        key = lambda v: v.live()
+    else:
+        kind = lambda v: F.when(v.missing, 9).when(v.null, 0).when(v.is_bool, 1).when(v.is_number, 2).when(v.is_string, 3).otherwise(4)
+        key = lambda v: F.struct(kind(v), F.coalesce(v.number, F.lit(0.0)), F.coalesce(v.string, F.lit("")))
+    # one value that compares part by part
+    found = _bind(F.try_parse_json(document), lambda parsed: _field(parsed, document, field, mode, key))
+    return [found.desc() if desc else found.asc()]
 
 
 def valid_document(text: Column) -> Column:

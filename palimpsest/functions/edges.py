@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..schema import EDGES
+
 OUT, IN, BOTH = "out", "in", "both"
 
 
@@ -29,3 +31,12 @@ def touches(node: str, direction: str) -> Column:
         raise ValueError(f"unknown direction {direction!r}")
     leaves, enters = F.col("from") == F.lit(node), F.col("to") == F.lit(node)
     return leaves if direction == OUT else enters if direction == IN else leaves | enters
+
+
+def with_routing(rows: DataFrame) -> DataFrame:
+    """``rows`` of a log with the columns from, type and to of edges, null for documents: as they are, if they
+    have them, or from ``meta``."""
+    if {"from", "type", "to"} <= set(rows.columns):
+        return rows
+    meta = F.when(F.col("collection") == EDGES, F.from_json("meta", "from string, type string, to string"))
+    return rows.withColumn("__m", meta).withColumns({n: F.col(f"__m.{n}") for n in ("from", "type", "to")}).drop("__m")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.edges import BOTH, touches
+from ..functions.edges import BOTH, touches, with_routing
 from ..schema import EDGE, EDGES
 from . import versions
 from .documents import page
@@ -15,14 +15,13 @@ from .documents import page
 
 def as_edges(rows: DataFrame) -> DataFrame:
     """Versions of edges with their routing; rows without a type are no edges."""
-    meta = F.from_json("meta", "from string, type string, to string")
-    found = rows.withColumn("__m", meta).filter(F.col("__m.type").isNotNull())
-    return found.select(F.col("__m.from").alias("from"), F.col("__m.type").alias("type"), F.col("__m.to").alias("to"), F.coalesce("value", F.lit("{}")).alias("props"), *[c for c in found.columns if c in EDGE or c == "key"])
+    found = with_routing(rows).filter(F.col("type").isNotNull())
+    return found.select("from", "type", "to", F.coalesce("value", F.lit("{}")).alias("props"), *[c for c in found.columns if c in EDGE and c not in ("from", "type", "to") or c == "key"])
 
 
 def edges(log: DataFrame, as_of=None, base: DataFrame | None = None) -> DataFrame:
     """Current edges or, ``as_of`` a time, those valid then."""
-    one = lambda df: df.filter(F.col("collection") == EDGES)
+    one = lambda df: with_routing(df.filter(F.col("collection") == EDGES))
     return as_edges(versions.live(one(log), None if base is None else one(base)) if as_of is None else versions.visible(one(log), valid_at=as_of))
 
 
@@ -35,12 +34,7 @@ def related(log: DataFrame, node: str, types: Sequence[str] = (), direction: str
     if types:
         wanted = wanted & F.col("type").isin(*types)
 
-    def one(df: DataFrame) -> DataFrame:
-        rows = df.filter(F.col("collection") == EDGES)
-        meta = F.from_json("meta", "from string, type string, to string")
-        routed = rows.withColumn("__m", meta).withColumns({n: F.col(f"__m.{n}") for n in ("from", "type", "to")})
-        return routed.filter(wanted).drop("__m", "from", "type", "to")
-
+    one = lambda df: with_routing(df.filter(F.col("collection") == EDGES)).filter(wanted)
     picked = versions.live(one(log), None if base is None else one(base)) if as_of is None else versions.visible(one(log), valid_at=as_of)
     found = as_edges(picked).orderBy("seq" if as_of is None else "key")
     return page(found.select(*EDGE), limit, offset)

@@ -64,7 +64,7 @@ def latest_points(points: DataFrame) -> DataFrame:
 
 def check_dimension(points: DataFrame, size: int) -> DataFrame:
     """``points``; reading it fails at a vector of another length."""
-    ok = F.size("embedding") == size
+    ok = F.coalesce(F.size("embedding") == size, F.lit(False))
     return points.withColumn("embedding", F.when(ok, F.col("embedding")).otherwise(F.raise_error(F.lit(f"a vector doesn't have {size} dimensions"))))
 
 

@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..database import Database
+from ..functions.instants import parse
 from ..operators import documents, graph, retention, search, versions
+from ..schema import LOG as SCHEMA
+from ..sources.event_log import EventLog
+from ..sources.vectors import VectorStore
+from ..streaming.shipping import FolderSink
 from . import tables as t
 
 AT = "2024-01-20"
@@ -33,12 +40,17 @@ LIVE = LOG + """, live AS (
 )"""
 ROW = "key, value, valid_from, tx_time"
 DOCS = """
-WITH docs AS (SELECT d.doc_id, CAST(d.doc_id AS VARCHAR) AS key, d.lang, d.source, d.n_chars, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
-EDGES = """
-WITH edges AS (
-    SELECT 'customer/' || o_custkey AS "from", CASE WHEN o_orderstatus = 'F' THEN 'fulfilled' ELSE 'placed' END AS type,
-        'orders/' || o_orderkey AS "to", '{"priority":"' || o_orderpriority || '"}' AS props, o_orderkey AS seq, o_orderdate AS valid_from
-    FROM orders
+WITH docs AS (SELECT d.doc_id, CAST(d.doc_id AS VARCHAR) AS key, d.lang, d.source, d.n_chars, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE d.doc_id % 10 <> 0)"""
+_ENDS = """'customer/' || o_custkey AS "from", CASE WHEN o_orderkey % 7 = 0 THEN 'cancelled' WHEN o_orderstatus = 'F' THEN 'fulfilled' ELSE 'placed' END AS type, 'orders/' || o_orderkey AS "to\""""
+EDGES = f"""
+WITH elog AS (
+    SELECT {_ENDS}, '{{"priority":"old"}}' AS props, 3 * o_orderkey AS seq, o_orderdate - INTERVAL 30 DAY AS valid_from, 'put' AS op FROM orders
+    UNION ALL SELECT {_ENDS}, '{{"priority":"' || o_orderpriority || '"}}', 3 * o_orderkey + 1, o_orderdate, 'put' FROM orders
+    UNION ALL SELECT {_ENDS}, NULL, 3 * o_orderkey + 2, o_orderdate + INTERVAL 10 DAY, 'delete' FROM orders WHERE o_orderkey % 7 = 0
+), edges AS (
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "to" ORDER BY seq DESC) AS n FROM elog) WHERE n = 1 AND op = 'put'
+), past AS (
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "to" ORDER BY valid_from DESC, seq DESC) AS n FROM elog WHERE valid_from <= TIMESTAMP '1997-01-01') WHERE n = 1 AND op = 'put'
 )"""
 
 
@@ -81,14 +93,14 @@ def _(s, d):
     return _row(documents.find(t.users(s, d), "users", [("k", "!=", 7)], as_of=AT))
 
 
-@_query("get_current", f"{LIVE} SELECT {ROW} FROM live WHERE key = '5'")
+@_query("get_current", f"{LIVE} SELECT {ROW} FROM live WHERE key = '7'")
 def _(s, d):
-    return _row(documents.get(t.users(s, d), "users", "5"))
+    return _row(documents.get(t.users(s, d), "users", "7"))
 
 
-@_query("get_as_of", f"{VALID} SELECT {ROW} FROM past WHERE key = '5'")
+@_query("get_as_of", f"{VALID} SELECT {ROW} FROM past WHERE key = '7'")
 def _(s, d):
-    return _row(documents.get(t.users(s, d), "users", "5", as_of=AT))
+    return _row(documents.get(t.users(s, d), "users", "7", as_of=AT))
 
 
 @_query("live_projection", f"{LIVE} SELECT {ROW} FROM live")
@@ -161,14 +173,14 @@ def _(s, d):
     return documents.find(t.docs(s, d), "docs", order_by="quality", desc=True, as_of="2024-02-01", limit=700).select("key")
 
 
-@_query("history", f"{LOG} SELECT seq, {ROW} FROM log WHERE key = '5'")
+@_query("history", f"{LOG} SELECT seq, {ROW} FROM log WHERE key = '7'")
 def _(s, d):
-    return versions.history(t.users(s, d), "users", "5").select("seq", "key", "value", "valid_from", "tx_time")
+    return versions.history(t.users(s, d), "users", "7").select("seq", "key", "value", "valid_from", "tx_time")
 
 
-@_query("history_between", f"{LOG} SELECT seq, {ROW} FROM log WHERE key = '5' AND valid_from BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '{AT}'")
+@_query("history_between", f"{LOG} SELECT seq, {ROW} FROM log WHERE key = '7' AND valid_from BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '{AT}'")
 def _(s, d):
-    return versions.history(t.users(s, d), "users", "5", ("2024-01-05", AT)).select("seq", "key", "value", "valid_from", "tx_time")
+    return versions.history(t.users(s, d), "users", "7", ("2024-01-05", AT)).select("seq", "key", "value", "valid_from", "tx_time")
 
 
 @_query("validity_intervals", f"{LOG} SELECT seq, key, valid_from, lead(valid_from) OVER (PARTITION BY key ORDER BY valid_from, seq) AS valid_to FROM log")
@@ -233,7 +245,7 @@ def _(s, d):
 
 @_query("collection_list", "SELECT unnest(['__edges__', 'docs', 'users']) AS collection")
 def _(s, d):
-    return retention.collections(t.users(s, d).unionByName(t.docs(s, d)).unionByName(t.orders(s, d)))
+    return retention.collections(t.users(s, d).unionByName(t.docs(s, d)).unionByName(t.orders(s, d).select(*SCHEMA.names)))
 
 
 @_query("high_water_seq", f"{LOG} SELECT CAST(coalesce(max(seq), 0) AS BIGINT) AS seq FROM log")
@@ -264,7 +276,7 @@ def _(s, d):
     return _edge(graph.related(t.orders(s, d), "customer/7", ["placed", "other"], "out"))
 
 
-@_query("related_as_of", f"{EDGES} SELECT {_EDGE} FROM edges WHERE \"from\" = 'customer/7' AND valid_from <= TIMESTAMP '1997-01-01'")
+@_query("related_as_of", f"{EDGES} SELECT {_EDGE} FROM past WHERE \"from\" = 'customer/7'")
 def _(s, d):
     return _edge(graph.related(t.orders(s, d), "customer/7", direction="out", as_of="1997-01-01"))
 
@@ -300,33 +312,157 @@ def _(s, d):
     return search.top_k(t.points(s, d), "docs", t.query_vector(s, d), 10).select("key", F.round("score", 6).alias("score"))
 
 
-@_query("search", f"{SIMILAR}, best AS (SELECT * FROM points ORDER BY score DESC, key LIMIT 20) SELECT key, round(score, 6) AS score FROM best WHERE vec_id IN (SELECT doc_id FROM documents)")
+@_query("search", f"{SIMILAR}, best AS (SELECT * FROM points ORDER BY score DESC, key LIMIT 20) SELECT key, round(score, 6) AS score FROM best WHERE vec_id IN (SELECT doc_id FROM documents WHERE doc_id % 10 <> 0)")
 def _(s, d):
     return search.search(t.docs(s, d), t.points(s, d), "docs", t.query_vector(s, d), limit=20).select("key", F.round("score", 6).alias("score"))
 
 
-@_query("search_where", f"{SIMILAR}, best AS (SELECT * FROM points ORDER BY score DESC, key LIMIT 40) SELECT key, round(score, 6) AS score FROM best WHERE vec_id IN (SELECT doc_id FROM documents WHERE lang = 'en')")
+@_query("search_where", f"{SIMILAR}, best AS (SELECT * FROM points ORDER BY score DESC, key LIMIT 40) SELECT key, round(score, 6) AS score FROM best WHERE vec_id IN (SELECT doc_id FROM documents WHERE doc_id % 10 <> 0 AND lang = 'en')")
 def _(s, d):
     return search.search(t.docs(s, d), t.points(s, d), "docs", t.query_vector(s, d), [("lang", "=", "en")], limit=40).select("key", F.round("score", 6).alias("score"))
 
 
-@_query("search_offset", f"{SIMILAR}, best AS (SELECT * FROM points ORDER BY score DESC, key LIMIT 10 OFFSET 5) SELECT key, round(score, 6) AS score FROM best WHERE vec_id IN (SELECT doc_id FROM documents)")
+@_query("search_offset", f"{SIMILAR}, best AS (SELECT * FROM points ORDER BY score DESC, key LIMIT 10 OFFSET 5) SELECT key, round(score, 6) AS score FROM best WHERE vec_id IN (SELECT doc_id FROM documents WHERE doc_id % 10 <> 0)")
 def _(s, d):
     return search.search(t.docs(s, d), t.points(s, d), "docs", t.query_vector(s, d), limit=10, offset=5).select("key", F.round("score", 6).alias("score"))
 
 
-@_query("search_offset_alone", f"{SIMILAR}, best AS (SELECT * FROM points ORDER BY score DESC, key LIMIT 7 OFFSET 3) SELECT key, round(score, 6) AS score FROM best WHERE vec_id IN (SELECT doc_id FROM documents)")
+@_query("search_offset_alone", f"{SIMILAR}, best AS (SELECT * FROM points ORDER BY score DESC, key LIMIT 7 OFFSET 3) SELECT key, round(score, 6) AS score FROM best WHERE vec_id IN (SELECT doc_id FROM documents WHERE doc_id % 10 <> 0)")
 def _(s, d):
     return search.search(t.docs(s, d), t.points(s, d), "docs", t.query_vector(s, d), offset=3).select("key", F.round("score", 6).alias("score"))
 
 
-@_query("restore_at", f"{LOG} SELECT seq, op, key FROM log WHERE tx_time <= TIMESTAMP '{AT}'")
+@_query("find_bool", f"{DOCS} SELECT key FROM docs WHERE n_chars > 1000")
 def _(s, d):
-    log = t.users(s, d)
-    snapshot, shipped = log.filter("seq <= 300"), log
-    later = shipped.filter((F.col("seq") > 300) & (F.col("tx_time") <= F.lit(AT).cast("timestamp_ntz")))
-    early = snapshot.filter(F.col("tx_time") <= F.lit(AT).cast("timestamp_ntz"))
-    return early.unionByName(later).select("seq", "op", "key")
+    return documents.find(t.docs(s, d), "docs", [("long", "=", True)]).select("key")
+
+
+@_query("find_bool_replay", f"{DOCS} SELECT key FROM docs WHERE n_chars <= 1000")
+def _(s, d):
+    return documents.find(t.docs(s, d), "docs", [("long", "=", False)], as_of="2024-02-01").select("key")
+
+
+# through the store: written, read back, shipped, purged, restored
+
+
+SNAPSHOT = "2024-01-10"
+
+
+def _shipped(s: SparkSession, d: str) -> tuple[EventLog, FolderSink, str]:
+    """The users' log, written in two parts with a snapshot in between, and shipped."""
+    root, users = t.work_folder(s), t.users(s, d)
+    log, sink = EventLog(s, f"{root}/db"), FolderSink(s, f"{root}/sink")
+    early = F.col("tx_time") <= F.lit(SNAPSHOT).cast("timestamp_ntz")
+    log.append(users.filter(early))
+    sink.ship(log)
+    sink.snapshot(log, at=parse(SNAPSHOT))
+    log.append(users.filter(~early))
+    sink.ship(log)
+    return log, sink, root
+
+
+@_query("restore_at", f"{LOG} SELECT seq, op, {ROW} FROM log WHERE tx_time <= TIMESTAMP '{AT}'")
+def _(s, d):
+    _, sink, root = _shipped(s, d)
+    return sink.restore(f"{root}/back", AT).log().select("seq", "op", "key", "value", "valid_from", "tx_time")
+
+
+@_query("restored_find", f"""{LOG} SELECT {ROW} FROM (
+    SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS n FROM log WHERE tx_time <= TIMESTAMP '{AT}') WHERE n = 1 AND op = 'put' AND k >= 25""")
+def _(s, d):
+    _, sink, root = _shipped(s, d)
+    sink.restore(f"{root}/back", AT)
+    return _row(Database(s, f"{root}/back").find("users", [("k", ">=", 25)]))
+
+
+@_query("shipped_after_purge", f"{LOG} SELECT seq, op, {ROW} FROM log WHERE tx_time >= TIMESTAMP '{CUTOFF}'")
+def _(s, d):
+    _, sink, _ = _shipped(s, d)
+    sink.purge(CUTOFF)
+    return sink.shipped().select("seq", "op", "key", "value", "valid_from", "tx_time")
+
+
+@_query("last_shipped_seq", f"{LOG} SELECT max(seq) AS seq FROM log")
+def _(s, d):
+    _, sink, _ = _shipped(s, d)
+    return retention.high_water(sink.shipped())
+
+
+def _purged(s: SparkSession, d: str) -> tuple[Database, int]:
+    db = Database(s, f"{t.work_folder(s)}/db")
+    db.events.append(t.users(s, d))
+    return db, db.purge("users", CUTOFF)
+
+
+@_query("purge", f"{LOG} SELECT seq, op, {ROW}, (SELECT count(*) FROM log WHERE tx_time < TIMESTAMP '{CUTOFF}') AS purged FROM log WHERE tx_time >= TIMESTAMP '{CUTOFF}'")
+def _(s, d):
+    db, n = _purged(s, d)
+    return db.events.log().select("seq", "op", "key", "value", "valid_from", "tx_time", F.lit(n).cast("long").alias("purged"))
+
+
+@_query("find_after_purge", f"{LIVE} SELECT {ROW} FROM live WHERE k >= 25")
+def _(s, d):
+    return _row(_purged(s, d)[0].find("users", [("k", ">=", 25)]))
+
+
+_ACCOUNTS = """
+WITH accounts AS (
+    SELECT CAST(c_custkey AS VARCHAR) AS key, c_mktsegment AS segment, CASE WHEN c_custkey % 3 = 0 THEN 0.5 ELSE c_acctbal END AS balance FROM customer WHERE c_custkey NOT IN (1, 2)
+    UNION ALL SELECT 'new', 'NONE', 7.25)"""
+
+
+def _accounts(s: SparkSession, d: str) -> Database:
+    """Customers loaded in bulk, a third of them again with another balance, and some written one by one."""
+    db = Database(s, f"{t.work_folder(s)}/db")
+    rows = t.table(s, d, "customer").select(F.lit("accounts").alias("collection"), F.col("c_custkey").alias("key"), "c_custkey", F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("balance"))
+    load = lambda df: db.events.load(df.select("collection", "key", F.to_json(F.struct("segment", "balance")).alias("value")))
+    load(rows)
+    db.events.keep_state(force=True)
+    load(rows.filter("c_custkey % 3 = 0").withColumn("balance", F.lit(0.5)))
+    db.delete("accounts", 1)
+    with db.events.batch():
+        db.put("accounts", "new", {"segment": "NONE", "balance": 7})
+        db.put("accounts", "new", {"segment": "NONE", "balance": 7.25})
+        db.delete("accounts", 2)
+    return db
+
+
+@_query("put_delete_find", f"{_ACCOUNTS} SELECT key FROM accounts WHERE balance > 0 AND balance < 1000")
+def _(s, d):
+    return _accounts(s, d).find("accounts", [("balance", ">", 0), ("balance", "<", 1000)]).select("key")
+
+
+@_query("put_delete_history", """SELECT * FROM (VALUES ('1', 1, true), ('1', 2, false), ('3', 1, true), ('3', 2, true), ('new', 1, true), ('new', 2, true)) v(key, version, has_value)""")
+def _(s, d):
+    db = _accounts(s, d)
+    rows = [db.history("accounts", k).select("key", F.col("value").isNotNull().alias("has_value"), F.monotonically_increasing_id().alias("n")) for k in ("1", "3", "new")]
+    each = rows[0].unionByName(rows[1]).unionByName(rows[2])
+    return each.select("key", F.row_number().over(Window.partitionBy("key").orderBy("n")).alias("version"), "has_value")
+
+
+@_query("relate_unrelate", """SELECT 'customer/' || c_custkey AS "from", 'in_nation' AS type, 'nation/' || c_nationkey AS "to", CASE WHEN c_custkey = 1 THEN '{"since": 2020}' ELSE '{}' END AS props FROM customer
+    WHERE c_custkey <> 2 AND c_nationkey IN (SELECT c_nationkey FROM customer WHERE c_custkey IN (1, 2))""")
+def _(s, d):
+    c = t.table(s, d, "customer")
+    db = Database(s, f"{t.work_folder(s)}/db")
+    db.events.load_edges(c.select(F.concat(F.lit("customer/"), "c_custkey").alias("from"), F.lit("in_nation").alias("type"), F.concat(F.lit("nation/"), "c_nationkey").alias("to"), F.lit("{}").alias("props")))
+    home = {r.c_custkey: f"nation/{r.c_nationkey}" for r in c.filter("c_custkey in (1, 2)").select("c_custkey", "c_nationkey").collect()}
+    with db.events.batch():
+        db.relate("customer/1", "in_nation", home[1], {"since": 2020})
+        db.unrelate("customer/2", "in_nation", home[2])
+    found = [db.related(n, ["in_nation"], "in") for n in sorted(set(home.values()))]
+    return reduce(DataFrame.unionByName, found).select("from", "type", "to", "props")
+
+
+@_query("search_upserted", f"{SIMILAR} SELECT key, round(score, 6) AS score FROM points WHERE vec_id % 10 <> 0 AND vec_id IN (SELECT doc_id FROM documents) ORDER BY points.score DESC, key LIMIT 10")
+def _(s, d):
+    """Every point is written twice, the first time turned round; points without a live document aren't written."""
+    store = VectorStore(s, f"{t.work_folder(s)}/vectors", 64)
+    there = t.table(s, d, "documents").select(F.col("doc_id").cast("string").alias("key"))
+    rows = t.points(s, d).filter("cast(key as long) % 10 <> 0").select("key", "embedding").join(there, "key", "left_semi")
+    store.upsert("docs", rows.withColumn("embedding", F.transform("embedding", lambda x: -x)))
+    store.upsert("docs", rows)
+    return search.search(t.docs(s, d), search.latest_points(store.points()), "docs", t.query_vector(s, d), limit=10).select("key", F.round("score", 6).alias("score"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -31,6 +31,9 @@ LOG = _schema(
     ("tx_time_ns", T.ShortType(), True),
 )
 
+#: What is stored: an event, and the routing of an edge (null for documents).
+STORED = T.StructType(LOG.fields + [T.StructField(n, T.StringType(), True) for n in ("from", "type", "to")])
+
 #: Columns of a row result and of an edge result.
 ROW = ["collection", "key", "value", "valid_from", "valid_from_ns", "tx_time", "tx_time_ns"]
 EDGE = ["from", "type", "to", "props", "seq", "valid_from", "valid_from_ns", "tx_time", "tx_time_ns"]

@@ -54,9 +54,8 @@ class FolderSink:
         """A stream of the log's append folder into JSON; a checkpoint remembers what has been shipped.
         A purge makes a new folder of what is left, with a checkpoint of its own: events of it that
         were shipped before are left out by their sequence numbers."""
-        log.flush()
         generation = log.generation
-        if not log._exists(f"{generation}/log"):
+        if not log._list(f"{generation}/log"):
             return None
         since = self.last_seq() if int(generation.rpartition("-")[2]) else 0
         marks = self._list(f"since/{generation}")
@@ -93,7 +92,7 @@ class FolderSink:
         fs.create(path, True).close()
 
     def snapshot(self, log: EventLog, at: Instant | None = None) -> str:
-        """A copy of log and base as they are; its name has the last sequence number in it and the time,
+        """A copy of log and stored state as they are; its name has the last sequence number in it and the time,
         to the microsecond, and nothing later than either is in it."""
         rows, base = log.log(), log.base()
         seq = max(int(retention.high_water(rows).first().seq), int(retention.high_water(base).first().seq))
@@ -112,7 +111,7 @@ class FolderSink:
         """A new log at ``root``: the last snapshot from ``target`` or before, and the events shipped
         after it that were committed by then. Sequence numbers and times are kept."""
         at = parse(target)
-        fresh = self.spark._jvm.org.apache.hadoop.fs.Path(f"{root}/CURRENT")
+        fresh = self.spark._jvm.org.apache.hadoop.fs.Path(f"{root}/current")
         if fresh.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(fresh):
             raise ValueError(f"there is a log at {root}")
         stamp = f"{at.at:%Y%m%dT%H%M%S}{at.at.microsecond:06d}Z"
@@ -120,11 +119,14 @@ class FolderSink:
         events = self.shipped().filter((F.col("tx_time") <= F.lit(at.at).cast("timestamp_ntz")) & (instant("tx_time") <= at.lit()))
         new = EventLog(self.spark, root)
         if best:
-            base = f"{self.root}/snapshots/{best[2]}"
-            rows = self.spark.read.schema(LOG).parquet(f"{base}/log").select(*LOG.names) if self._list(f"snapshots/{best[2]}/log") else self.spark.createDataFrame([], LOG)
+            rows, base = (self._stored(f"snapshots/{best[2]}/{x}") for x in ("log", "base"))
             new.append(rows.unionByName(events.filter(F.col("seq") > F.lit(best[0])).select(*LOG.names)))
-            if any(x.startswith("collection=") for x in self._list(f"snapshots/{best[2]}/base")):
-                self.spark.read.schema(LOG).parquet(f"{base}/base").select(*LOG.names).write.mode("overwrite").partitionBy("collection").parquet(f"{root}/{new.path('base')}")
+            new.set_state(base)
         else:
             new.append(events.select(*LOG.names))
         return new
+
+    def _stored(self, name: str) -> DataFrame:
+        there = any(x.startswith("collection=") for x in self._list(name))
+        rows = self.spark.read.schema(LOG).parquet(f"{self.root}/{name}") if there else self.spark.createDataFrame([], LOG)
+        return rows.select(*LOG.names)
