@@ -34,7 +34,7 @@ def related(log: DataFrame, node: str, types: Sequence[str] = (), direction: str
     if types:
         wanted = wanted & F.col("type").isin(*types)
 
-    one = lambda df: with_routing(df.filter(F.col("collection") == EDGES)).filter(wanted)
+    one = lambda df: with_routing(df.filter(F.col("collection") == EDGES)).filter(wanted).drop("meta")
     picked = versions.live(one(log), None if base is None else one(base)) if as_of is None else versions.visible(one(log), valid_at=as_of)
     found = as_edges(picked).orderBy("seq" if as_of is None else "key")
     return page(found.select(*EDGE), limit, offset)
@@ -42,4 +42,6 @@ def related(log: DataFrame, node: str, types: Sequence[str] = (), direction: str
 
 def edge_types(log: DataFrame, base: DataFrame | None = None) -> DataFrame:
     """The types current edges have, in order."""
-    return edges(log, base=base).select("type").distinct().orderBy("type")
+    one = lambda df: with_routing(df.filter(F.col("collection") == EDGES)).select("collection", "key", "seq", "op", "type")
+    current = versions.live(one(log), None if base is None else one(base))
+    return current.filter(F.col("type").isNotNull()).select("type").distinct().orderBy("type")

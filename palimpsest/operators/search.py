@@ -86,7 +86,7 @@ def search(log: DataFrame, points: DataFrame, collection: str, query: Sequence[f
     if rerank:
         best = rerank(best)
     best = best.filter(F.col("rank") > F.lit(offset))
-    one = lambda df: df.filter(F.col("collection") == collection).join(F.broadcast(best.select("key")), "key", "left_semi")
+    one = lambda df: df.filter(F.col("collection") == collection).join(F.broadcast(best.select("key")), "key", "left_semi").select("seq", "op", *ROW)
     rows = versions.live(one(log), None if base is None else one(base)).filter(D.matches(F.col("value"), where, D.LIVE))
     # at most k rows are broadcast
     return rows.join(F.broadcast(best.select("key", "score", "rank")), "key").orderBy("rank").select(*ROW, "score", "rank")
