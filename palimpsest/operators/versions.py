@@ -63,9 +63,19 @@ def history(log: DataFrame, collection: str, key: str, between: tuple | None = N
 
 
 def intervals(log: DataFrame) -> DataFrame:
-    """Adds ``valid_to``, ``valid_to_ns``: where the validity of a version ends (null: open)."""
-    w = Window.partitionBy("collection", "key").orderBy("valid_from", "valid_from_ns", "seq")
-    return log.withColumns({"valid_to": F.lead("valid_from").over(w), "valid_to_ns": F.lead("valid_from_ns").over(w)})
+    """Adds ``valid_to``, ``valid_to_ns``: where the validity of a version ends (null: open).
+
+    A key's versions are spread over days of valid time, and the last one of a day ends where the next day
+    with versions begins, so no task holds all versions of a hot key."""
+    day = F.col("valid_from").cast("date")
+    begin = F.struct("valid_from", "valid_from_ns")
+    first = log.groupBy("collection", "key", day.alias("day")).agg(F.min(begin).alias("begin"))
+    days = first.withColumn("after_day", F.lead("begin").over(Window.partitionBy("collection", "key").orderBy("day"))).drop("begin")
+    w = Window.partitionBy("collection", "key", "day").orderBy("valid_from", "valid_from_ns", "seq")
+    # the window's partitioning serves the join as well
+    found = log.withColumn("day", day).withColumn("in_day", F.lead(begin).over(w)).join(days, ["collection", "key", "day"], "left")
+    end = F.coalesce("in_day", "after_day")
+    return found.select(*log.columns, end["valid_from"].alias("valid_to"), end["valid_from_ns"].alias("valid_to_ns"))
 
 
 def after(log: DataFrame, seq: int) -> DataFrame:

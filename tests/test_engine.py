@@ -436,3 +436,26 @@ def test_plans_have_no_shuffle_for_one_key(spark):
 
     plan = documents.get(tables.users(spark, "/root/testdata/sf0.001"), "users", "5")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo" in plan or "user_id" in plan
+
+
+def test_intervals_of_a_hot_key(spark):
+    """A key's days are joined to the days after them; several versions of a moment, gaps and other keys too."""
+    import datetime
+    import random
+
+    from palimpsest.operators import versions
+    from palimpsest.schema import LOG
+
+    rnd = random.Random(3)
+    start = datetime.datetime(2024, 1, 1)
+    log = []
+    for seq in range(600):
+        at = start + datetime.timedelta(days=rnd.choice([0, 0, 1, 5, 30]), hours=rnd.randrange(3))
+        log.append((seq, "c", "hot" if seq % 3 else f"k{seq % 7}", "put", "{}", None, at, rnd.choice([0, 500]), at, 0))
+    found = versions.intervals(spark.createDataFrame(log, LOG))
+    assert found.columns == [*LOG.names, "valid_to", "valid_to_ns"]
+    ends = {}
+    for key in {r[2] for r in log}:
+        mine = sorted((r[6], r[7], r[0]) for r in log if r[2] == key)
+        ends |= {a[2]: b[:2] for a, b in zip(mine, [*mine[1:], (None, None)], strict=True)}
+    assert {r.seq: (r.valid_to, r.valid_to_ns) for r in found.collect()} == ends
