@@ -23,5 +23,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op6_vector_graph": embedding_dedup.SQL,
+        "op8_jump_sharding": sharding.SQL,
         "op9_line_windows": line_dedup.SQL,
     }

@@ -99,3 +99,42 @@ def place(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place(table(spark, sf_dir, "documents"))
+
+
+#: The same rows: CRC-32 by its table of 256 remainders, jumps in integers of 128 bits. 3988292384 is the reversed
+#: polynomial; 17 jumps are as many as 16 shards can take.
+SQL = """
+WITH texts AS (
+    SELECT CAST(doc_id AS BIGINT) AS doc_id, COALESCE("text", '') AS t, regexp_extract_all(hex(encode(COALESCE("text", ''))), '..') AS pairs
+    FROM documents
+), crc_table AS (
+    SELECT list(v ORDER BY i) AS crcs
+    FROM (
+        SELECT i, list_reduce(list_prepend(CAST(i AS BIGINT), CAST(range(8) AS BIGINT[])), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+        FROM (SELECT unnest(range(256)) AS i)
+    )
+), rows AS (
+    SELECT doc_id, len(pairs) + 1 AS size,
+           xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(pairs, lambda p: CAST('0x' || p AS BIGINT))),
+                           lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32
+    FROM texts, crc_table
+), jumped AS (
+    SELECT *,
+           list_reduce(
+               list_prepend({'key': CAST(CAST(COALESCE(doc_id, 0) AS HUGEINT) + CASE WHEN doc_id < 0 THEN 18446744073709551616 ELSE 0 END AS HUGEINT), 'b': CAST(-1 AS BIGINT), 'j': CAST(0 AS BIGINT)},
+                            list_transform(range(17), lambda i: {'key': CAST(0 AS HUGEINT), 'b': CAST(0 AS BIGINT), 'j': CAST(0 AS BIGINT)})),
+               lambda s, x: CASE WHEN s.j >= 16 THEN s ELSE {
+                   'key': (s.key * 2862933555777941757 + 1) % 18446744073709551616,
+                   'b': s.j,
+                   'j': CAST(floor(CAST(s.j + 1 AS DOUBLE) * (2147483648.0::DOUBLE / CAST(((s.key * 2862933555777941757 + 1) % 18446744073709551616) // 8589934592 + 1 AS DOUBLE))) AS BIGINT)} END) AS jump,
+           xor(CAST(COALESCE(doc_id, 0) AS HUGEINT) + CASE WHEN doc_id < 0 THEN 18446744073709551616 ELSE 0 END, (CAST(text_crc32 AS HUGEINT) * 2147483648) % 18446744073709551616) AS seed
+    FROM rows
+), placed AS (
+    SELECT *, CAST(jump.b AS INTEGER) AS shard, CAST(CASE WHEN jump.j = 16 THEN 16 ELSE jump.b END AS INTEGER) AS grown_shard,
+           ((((seed * 2862933555777941757 + 1) % 18446744073709551616) * 2862933555777941757 + 1) % 18446744073709551616) // 17592186044416 % 1024 AS cell
+    FROM jumped
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'key' AS law, shard,
+       CAST(row_number() OVER (PARTITION BY shard ORDER BY cell, doc_id NULLS FIRST, text_crc32, size) - 1 AS BIGINT) AS slot, grown_shard
+FROM placed
+"""

@@ -192,7 +192,10 @@ def test_slots_of_hot_ids_and_clashing_names(spark):
 
 
 def test_sharding_query_on_whole_tables(spark, sf):
-    """Hashes of texts are beyond the SQL at hand, so the query is held against the published algorithm."""
+    """Against the published algorithm, and against the SQL."""
+    from compare import same
+
+    same(sharding.query(spark, sf), sharding.SQL, sf)
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     rows = sharding.query(spark, sf).collect()
     assert len(rows) == len(texts)
@@ -204,6 +207,18 @@ def test_sharding_query_on_whole_tables(spark, sf):
     assert all(sorted(x) == list(range(len(x))) for x in slots.values())
 
 
+def test_sharding_sql_on_edges(spark, make, tmp_path):
+    from compare import same
+
+    ids = [None, 0, -1, 1, 2**63 - 1, -(2**63), 2**31, -(2**40)]
+    docs = make(*[(i, t) for i in ids for t in (None, "", "é\n🙂", "a" * 3000)], (5, "x"), (5, "x"), extra=False)
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    pq.write_table(pa.table({"doc_id": pa.array([r.doc_id for r in docs.collect()], pa.int64()), "text": pa.array([r.text for r in docs.collect()], pa.string())}), tmp_path / "documents.parquet")
+    same(sharding.place(docs), sharding.SQL, str(tmp_path))
+
+
 # lines
 
 
