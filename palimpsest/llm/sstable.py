@@ -15,16 +15,19 @@ bit turned, so that bytes sort as numbers do, and a big-endian count among rows
 A lookup tests the filter, finds the block by binary search in the index, and reads that block alone.
 
 Documents are put in order by a range shuffle of their texts, encoded where they then lie, and streamed
-to one shard per partition: to a name of the attempt, then moved, so a task that runs twice leaves one
+to one shard per partition; rows of one identifier may fill many shards, cut by the checksum of the text and by
+the part of the input they come from, so an identifier that holds a third of all rows is no single task. Shards go
+to a file under a name of the attempt, which is then moved, so a task that runs twice leaves one
 whole file. The folder must be one that all executors share.
 
 Defined results: a null text counts as empty (end id alone); rows with null identifiers come first;
-rows that share an identifier lie side by side, each with its own count in the key, and a
-lookup returns them all; an empty table gives an empty set of shards.
+rows that share an identifier lie side by side, in order of the checksum of their texts, each with its own count
+in the key (from 0 in each shard), and a lookup asks all shards that may hold them and returns them all; an empty table gives an empty set of shards.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from bisect import bisect_left
@@ -125,10 +128,16 @@ class Writer:
         self.out.write(_FOOTER.pack(self.at, len(index), self.at + len(index), len(bloom), self.docs, self.ids, zlib.crc32(index + bloom), MAGIC))
 
 
-def _open(uri: str):
+def _uri(path: str) -> str:
+    """A path, or a name that Hadoop's readers give to a store, as the URI of the same place."""
+    uri = re.sub("^s3[an]://", "s3://", path)
+    return uri if "://" in uri or uri.startswith(("file:", "hdfs:")) else f"file://{uri}"
+
+
+def _open(path: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith(("file:", "hdfs:")) else f"file://{uri}")
+    return fs.FileSystem.from_uri(_uri(path))
 
 
 class Reader:
@@ -216,7 +225,9 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
             files.move(own, name)
             yield pa.RecordBatch.from_pydict(schema=kinds, mapping={"shard": [shard], "path": [f"{files_dir}/{shard:06d}.sst"], "n_docs": [writer.docs], "n_ids": [writer.ids]})
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.crc32("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumns({"crc": F.crc32("text"), "part": F.spark_partition_id()})
+    order = [F.col("doc_id").asc_nulls_first(), "crc", "part"]
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     shards = materialize(spark, ordered.mapInArrow(run, _SHARDS), "shards")
     # a row per shard: a running sum over them is small whatever the table
     return shards.withColumn("before", F.coalesce(F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

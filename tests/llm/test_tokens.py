@@ -226,6 +226,34 @@ def test_sstable_edges(spark, make, tmp_path):
     assert sstable.read(sstable.write(docs.limit(0), str(tmp_path / "none"))).count() == 0
 
 
+def test_sstable_of_a_hot_identifier(spark, tmp_path):
+    """Rows of one identifier, repeated ones too, are dealt over shards; order, starts and lookups hold."""
+    from pyspark.sql import functions as F
+
+    docs = spark.range(0, 3000, 1, 6).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 40).alias("doc_id"), F.when(F.col("id") % 2 == 0, F.lit("same")).otherwise(F.concat(F.lit("t"), F.col("id") % 9)).alias("text"))
+    # so small a table would be joined into one partition
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        shards = sstable.write(docs, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(shards) > 2 and max(s.n_docs for s in shards) < 1500
+    again = spark.createDataFrame([(s.path, s.before) for s in shards], "path string, before long")
+    rows = sstable.read(again).orderBy("start").collect()
+    assert [r.doc_id for r in rows] == sorted(r.doc_id for r in docs.collect())
+    at = 0
+    for r in rows:
+        assert r.start == at
+        at += r.n_tokens
+    found = sstable.lookup(again, spark.createDataFrame([(7,), (8,)], "doc_id long")).collect()
+    assert len(found) == docs.filter("doc_id in (7, 8)").count()
+
+
+def test_sstable_stores_by_their_names():
+    given = ["s3a://b/k", "s3n://b/k", "s3://b/k", "hdfs://h/k", "file:/data/k", "/data/k"]
+    assert [sstable._uri(x) for x in given] == ["s3://b/k", "s3://b/k", "s3://b/k", "hdfs://h/k", "file:/data/k", "file:///data/k"]
+
+
 def test_sstable_file(tmp_path):
     path = str(tmp_path / "x.sst")
     rnd = random.Random(2)
