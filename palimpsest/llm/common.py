@@ -59,7 +59,7 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 
 #: Text handled at once; bounds the memory that the pieces of a batch take.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 1_000_000
 
 #: White space in Unicode but not in ASCII, and control characters that some libraries count as such.
 ODD_SPACE = re.compile("[" + "".join(map(chr, [*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])) + "]")
@@ -153,30 +153,40 @@ def slices(texts: Iterable[str], chars: int = SLICE_CHARS) -> Iterator[list[str]
 _loaded: dict = {}
 
 
-def once(key, load: Callable):
-    """Per worker process: models and their chunk tables live as long as the worker."""
-    if key not in _loaded:
-        # these hold millions of values and no cycles: look for cycles less often
+def _models(operator) -> dict:
+    """What this worker process holds for ``operator``. It holds models of one operator at a time: workers outlive a
+    stage, and those of all stages of a pipeline would add up beside the JVM's heap."""
+    if operator not in _loaded:
+        _loaded.clear()
+        gc.collect()
+        # models hold millions of values and no cycles: look for cycles less often
         gc.set_threshold(100_000, 50, 100)
-        _loaded[key] = load()
-    return _loaded[key]
+        _loaded[operator] = {}
+    return _loaded[operator]
 
 
-def latest(slot: str, key, load: Callable):
+def once(operator, key, load: Callable):
+    """Per worker process: models and their chunk tables live until another operator loads its own."""
+    held = _models(operator)
+    if key not in held:
+        held[key] = load()
+    return held[key]
+
+
+def latest(operator, slot: str, key, load: Callable):
     """Per worker process, as ``once``, but one value a slot: another key takes its place."""
-    if slot not in _loaded or _loaded[slot][0] != key:
-        _loaded[slot] = (key, load())
-    return _loaded[slot][1]
+    held = _models(operator)
+    if slot not in held or held[slot][0] != key:
+        held.pop(slot, None)
+        held[slot] = (key, load())
+    return held[slot][1]
 
 
 def tokenizer(path: str):
-    def load():
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        return Tokenizer.from_file(path)
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
 
-    return once(("tokenizer", path), load)
+    return Tokenizer.from_file(path)
 
 
 _SPACED = re.compile("[ \t\n\r\f\v]*[^ \t\n\r\f\v]+|[ \t\n\r\f\v]+")
@@ -195,6 +205,10 @@ def _is_latin(text: str) -> bool:
     return (not left and "\u0130" not in text) or not _BEYOND.search(text)
 
 
+#: Chunks in a generation of an encoder's table: 40 MB or so, and each executor has a worker per core.
+ID_CHUNKS = 200_000
+
+
 class IdEncoder:
     """Ids, as little-endian unsigned 32-bit bytes, of texts under a file of the tokenizers library.
 
@@ -217,7 +231,7 @@ class IdEncoder:
         for token, i in vocab.items():
             self.parts[i] = len(token) if spaces else token.endswith("</w>")
         self.plain = re.compile((" " if spaces else "") + _LETTERS + "+").fullmatch
-        self.table = ChunkTable(self._encode)
+        self.table = ChunkTable(self._encode, ID_CHUNKS)
 
     def _encode(self, chunks: list[str]) -> list[bytes]:
         """Ids of each chunk. Plain words, which are most chunks, are encoded a thousand in a text, as
@@ -275,4 +289,4 @@ class IdEncoder:
 
 
 def id_encoder(path: str, spaces: bool) -> IdEncoder:
-    return once(("ids", path, spaces), lambda: IdEncoder(path, spaces))
+    return once(("ids", path, spaces), "encoder", lambda: IdEncoder(path, spaces))

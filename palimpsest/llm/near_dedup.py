@@ -193,7 +193,7 @@ def _parts(x, n: int = 4096):
 
 
 def sampler() -> Sampler:
-    return once("icws", Sampler)
+    return once("near_dedup", "icws", Sampler)
 
 
 def document_frequencies(docs: DataFrame):
@@ -265,7 +265,7 @@ def idf_of(df, n: int):
 def _idf(data: bytes, key: str):
     import numpy as np
 
-    return latest("idf", key, lambda: np.frombuffer(data, np.float32).reshape(2, -1)) if data else None
+    return latest("near_dedup", "idf", key, lambda: np.frombuffer(data, np.float32).reshape(2, -1)) if data else None
 
 
 def similarity(a: bytes, b: bytes) -> float:

@@ -88,7 +88,7 @@ def _sha(text: str) -> str:
 
 
 def codec(path: str) -> Codec:
-    return once(("codec", path), lambda: Codec(path))
+    return once(("codec", path), "codec", lambda: Codec(path))
 
 
 def encode(df: DataFrame, text: str = "text", out: str = "ids", model: str | None = None) -> DataFrame:

@@ -218,7 +218,7 @@ def lexicon(counts: dict[str, tuple[int, int]], rate: float) -> dict[str, float]
 
 
 def _scorer(model_json: str) -> Scorer:
-    return latest("toxicity", model_json, lambda: Scorer(Model(**json.loads(model_json))))
+    return latest("toxicity", "scorer", model_json, lambda: Scorer(Model(**json.loads(model_json))))
 
 
 def calibrate(rows: DataFrame, model: Model) -> Model:

@@ -1,11 +1,12 @@
 """The stages one after another, each against what it promises."""
 
 import random
+import weakref
 
 import corpus_pipeline
 import pytest
 
-from palimpsest.llm import near_dedup, toxicity
+from palimpsest.llm import common, near_dedup, packing, toxicity
 
 
 def test_stages_on_the_smallest_tables(spark, sf, tmp_path):
@@ -88,3 +89,18 @@ def test_toxic_stage_keeps_the_rest(spark, planted):
     docs = spark.read.parquet(f"{planted}/documents.parquet")
     kept = {r.doc_id for r in toxicity.stage(spark, docs, planted).collect()}
     assert {i for i in range(400) if i % 10 not in (1, 2)} <= kept
+
+
+def test_workers_hold_models_of_one_operator():
+    """A worker process lives through all stages; what a stage loaded goes when the next one loads its own."""
+    scorer = toxicity._scorer(toxicity.Model().to_json())
+    assert toxicity._scorer(toxicity.Model().to_json()) is scorer
+    sampler = near_dedup.sampler()
+    assert near_dedup.sampler() is sampler
+    encoder = common.id_encoder(packing.default_tokenizer(), False)
+    assert common.id_encoder(packing.default_tokenizer(), False) is encoder
+    held = [weakref.ref(x) for x in (scorer, sampler, encoder)]
+    del scorer, sampler, encoder
+    assert [r() is None for r in held] == [True, True, False]
+    near_dedup.sampler()
+    assert held[2]() is None
