@@ -24,6 +24,7 @@ import struct
 import zlib
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,27 +80,27 @@ def lzw_codes(data: bytes, size: int = 8) -> list[list[int]]:
     runs: list[list[int]] = [[clear]]
     run: list[int] = []
     if data:
+        # codes are kept with a byte of room, where the next byte makes them a key
         codes: dict[int, int] = {}
-        get, put = codes.get, run.append
-        free = end + 1
-        at = data[0]
+        put = run.append
+        free, full = end + 1 << 8, 4096 << 8
+        at = data[0] << 8
         for byte in data[1:]:
-            key = at << 8 | byte
-            code = get(key)
-            if code is not None:
-                at = code
+            key = at | byte
+            if key in codes:
+                at = codes[key]
                 continue
-            put(at)
-            at = byte
-            if free < 4096:
+            put(at >> 8)
+            at = byte << 8
+            if free < full:
                 codes[key] = free
-                free += 1
+                free += 256
             else:
                 put(clear)
                 runs.append(run)
-                run, codes, free = [], {}, end + 1
-                get, put = codes.get, run.append
-        put(at)
+                run, codes, free = [], {}, end + 1 << 8
+                put = run.append
+        put(at >> 8)
     run.append(end)
     runs.append(run)
     return runs
@@ -110,7 +111,7 @@ def lzw_pack(parts: list[list[list[int]]], size: int = 8) -> list[bytes]:
     import numpy as np
 
     width, before = _schedule(size)
-    codes = np.fromiter((c for runs in parts for run in runs for c in run), np.int64)
+    codes = np.fromiter(chain.from_iterable(chain.from_iterable(parts)), np.int64)
     at, k, byte, ends = np.empty(len(codes), np.int64), 0, 0, []
     for runs in parts:
         bit = 8 * byte
@@ -179,6 +180,71 @@ def lzw_decode(stream: bytes, size: int, length: int) -> bytes:
     return bytes(out[:length])
 
 
+def _decode_single(streams: list[bytes], size: int, lengths: list[int]) -> list[bytes | None]:
+    """As ``lzw_decode``, for many short streams at once; None where a stream isn't one run of sound codes between a
+    clear and an end code. Entries and bytes point back to what they repeat; pointers are followed in doubled steps."""
+    import numpy as np
+
+    clear, end = 1 << size, (1 << size) + 1
+    width, before = _schedule(size)
+    have, want = np.array([len(x) for x in streams]), np.array(lengths)
+    raw = np.frombuffer(b"".join(streams) + b"\0\0\0", np.uint8).astype(np.int64)
+    window = raw[:-2] | raw[1:-1] << 8 | raw[2:] << 16
+    base = np.cumsum(have) - have
+    ok = (have > 2) & (window[base] & (2 << size) - 1 == clear)
+    n = np.where(ok, np.searchsorted(before, 8 * have - size - 1, side="right") - 1, 0)
+    first = np.cumsum(n) - n
+    k = np.arange(n.sum()) - np.repeat(first, n)
+    at = np.repeat(8 * base + size + 1, n) + before[k]
+    codes = window[at >> 3] >> (at & 7) & (1 << width[k]) - 1
+    stops = np.append(np.flatnonzero((codes == clear) | (codes == end)), len(codes))
+    stop = stops[np.searchsorted(stops, first)]
+    ok &= (stop > first) & (stop < first + n) & (np.append(codes, clear)[stop] == end)
+    m = np.where(ok, stop - first, 0)
+    mine = k < np.repeat(m, n)
+    codes, k = codes[mine], k[mine]
+    first, file = np.cumsum(m) - m, np.repeat(np.arange(len(m)), m)
+    literal, entry = codes < clear, codes - end - 1
+    wrong = ~literal & (entry >= k)
+    ok[file[wrong]] = False
+    literal |= wrong
+    parent = np.where(literal, np.arange(len(codes)), first[file] + entry)
+    longer, up = (~literal).astype(np.int64), parent
+    while (more := longer[up]).any():
+        longer, up = longer + more, up[up]
+    long = longer + 1
+    total = np.bincount(file, weights=long, minlength=len(m)).astype(np.int64)
+    ok &= total >= want
+    if (total > want + 4096).any():
+        return [None] * len(streams)
+    start = np.cumsum(long) - long
+    of = np.repeat(np.arange(len(codes)), long)
+    spot = np.arange(len(of))
+    source = np.where(literal[of], spot, start[parent[of]] + spot - start[of])
+    while ((back := source[source]) != source).any():
+        source = back
+    value = np.zeros(len(of), np.uint8)
+    value[start[literal]] = codes[literal] & 255
+    data, ends = value[source].tobytes(), np.cumsum(total)
+    return [data[a : a + w] if good else None for a, w, good in zip((ends - total).tolist(), lengths, ok.tolist(), strict=True)]
+
+
+def lzw_decode_all(streams: list[bytes], sizes: list[int], lengths: list[int]) -> list[bytes]:
+    """``lzw_decode`` of each stream; short ones of one size are decoded together, a bounded number of bytes at a time."""
+    out: list[bytes | None] = [None] * len(streams)
+    for size in set(sizes):
+        part, room = [], 0
+        for i in [*(i for i, s in enumerate(sizes) if s == size and 0 < lengths[i] <= 1 << 14 and len(streams[i]) <= 1 << 14), None]:
+            if i is None or room > 1 << 18:
+                for x, found in zip(part, _decode_single([streams[x] for x in part], size, [lengths[x] for x in part]) if part else [], strict=True):
+                    out[x] = found
+                part, room = [], 0
+            if i is not None:
+                part.append(i)
+                room += lengths[i] + len(streams[i])
+    return [lzw_decode(s, z, n) if x is None else x for x, s, z, n in zip(out, streams, sizes, lengths, strict=True)]
+
+
 def _blocks(data: bytes) -> bytes:
     return b"".join(bytes((len(data[i : i + 255]),)) + data[i : i + 255] for i in range(0, len(data), 255)) + b"\0"
 
@@ -232,11 +298,13 @@ def decode(file: bytes) -> Image:
     image = Image(width, height, background, palette, None, [])
     control = (0, 0, None)
     pixels = 0
+    found: list[tuple[bytes, int, int]] = []
+    interlaced: list[bool] = []
     try:
         while True:
             kind = file[at]
             if kind == 0x3B:
-                return image
+                break
             if kind == 0x21:
                 label = file[at + 1]
                 data, at = _data(file, at + 2)
@@ -261,13 +329,18 @@ def decode(file: bytes) -> Image:
             if not 1 <= size <= 11:
                 raise ValueError(f"code size {size}")
             stream, at = _data(file, at + 1)
-            indices = lzw_decode(stream, size, w * h).ljust(w * h, b"\0")
-            if flags & 0x40:
-                indices = _interlaced(indices, w, h)
-            image.frames.append(Frame(left, top, w, h, indices, own, *control))
+            found.append((stream, size, w * h))
+            interlaced.append(bool(flags & 0x40))
+            image.frames.append(Frame(left, top, w, h, b"", own, *control))
             control = (0, 0, None)
     except (IndexError, struct.error) as e:
         raise ValueError("the file ends early") from e
+    if found:
+        for f, odd, indices in zip(image.frames, interlaced, lzw_decode_all(*map(list, zip(*found, strict=True))), strict=True):
+            f.indices = indices.ljust(f.width * f.height, b"\0")
+            if odd:
+                f.indices = _interlaced(f.indices, f.width, f.height)
+    return image
 
 
 def shown(image: Image):

@@ -29,6 +29,23 @@ def pack(codes, widths):
     return acc.to_bytes((bits + 7) // 8, "little")
 
 
+def test_short_streams_are_decoded_together(monkeypatch):
+    """As one by one: bytes, cut ends, and codes before their entries; whole streams never one by one."""
+    rnd = random.Random(4)
+    datas = [bytes(rnd.randrange(k) for _ in range(n)) for k in (1, 2, 7, 256) for n in (1, 2, 3, 50, 576, 5000)] + [b"abc" * 192]
+    whole = [G.lzw_encode(d) for d in datas]
+    short = [i for i, d in enumerate(datas) if len(d) <= 576]
+    odd = [x[: len(x) // 2] for x in whole] + [b"", b"\0", pack([256, 256, 65, 257], [9] * 4), pack([65, 66, 257], [9] * 3), pack([256, 65, 66], [9] * 3), pack([256, 257], [9] * 2)]
+    streams, lengths = whole + odd, [len(d) for d in datas] + [40] * len(odd)
+    want = [G.lzw_decode(x, 8, n) for x, n in zip(streams, lengths, strict=True)]
+    assert G.lzw_decode_all(streams, [8] * len(streams), lengths) == want
+    assert G.lzw_decode_all(whole, [8] * len(whole), [1] * len(whole)) == [d[:1] for d in datas]
+    with pytest.raises(ValueError):
+        G.lzw_decode_all([whole[0], pack([256, 400, 257], [9] * 3)], [8, 8], [1, 10])
+    monkeypatch.setattr(G, "lzw_decode", None)
+    assert G.lzw_decode_all([whole[i] for i in short], [8] * len(short), [len(datas[i]) for i in short]) == [datas[i] for i in short]
+
+
 def test_lzw_published_example():
     # a 10 x 10 image of 4 colours, as in many descriptions of the format
     stream = bytes([0x8C, 0x2D, 0x99, 0x87, 0x2A, 0x1C, 0xDC, 0x33, 0xA0, 0x02, 0x75, 0xEC, 0x95, 0xFA, 0xA8, 0xDE, 0x60, 0x8C, 0x04, 0x91, 0x4C, 0x01])
