@@ -138,7 +138,7 @@ def arrow_rows(df: DataFrame, run: Callable, schema: str, rows: int = 1000) -> D
     return df.mapInArrow(each, schema)
 
 
-def slices(texts: Iterable[str], chars: int = SLICE_CHARS) -> Iterator[list[str]]:
+def slices(texts: Iterable, chars: int = SLICE_CHARS) -> Iterator[list]:
     part, size = [], 0
     for t in texts:
         if part and size + len(t) > chars:

@@ -115,6 +115,56 @@ def test_histograms_are_those_of_the_canvas():
     assert G.histograms(G.Image(2, 2, 0, b"", None, [])) == []
 
 
+def plain_codes(data):
+    """LZW by the book: strings and their codes, a clear code where the table is full."""
+    out, known, at = [256], {}, b""
+    for b in data:
+        nxt = at + bytes([b])
+        if len(nxt) == 1 or nxt in known:
+            at = nxt
+            continue
+        out.append(known.get(at, at[0]))
+        if len(known) < 4096 - 258:
+            known[nxt] = 258 + len(known)
+        else:
+            out.append(256)
+            known = {}
+        at = bytes([b])
+    return [*out, *([known.get(at, at[0])] if at else []), 257]
+
+
+def test_codes_are_those_of_the_book_and_the_table_is_left_empty():
+    rnd = random.Random(6)
+    for kinds, n in ((1, 3000), (3, 576), (256, 576), (256, 12000), (90, 20000), (1, 0), (1, 1)):
+        data = bytes(rnd.randrange(kinds) for _ in range(n))
+        assert [c >> 8 for run in G.lzw_codes(data) for c in run] == plain_codes(data)
+        assert not any(G._entries())
+    with pytest.raises(TypeError):
+        G.lzw_codes([1, 2, 3, None])
+    assert not any(G._entries())
+
+
+def test_files_of_a_batch_are_made_and_read_together(make, monkeypatch):
+    """One pack and one decoding for many short files, and what one file by itself gives, whatever its neighbours."""
+    rnd = random.Random(8)
+    images = [G.image_of(bytes(rnd.randrange(97, 123) for _ in range(576 * rnd.randrange(1, 4)))) for _ in range(40)]
+    images += [image((0, 0, 2, 2, [1, 1, 1, 1], {"disposal": 2}), (0, 0, 2, 1, [2, 0], {"transparent": 0})), G.Image(2, 2, 0, G.COLOURS, None, [])]
+    files, seen = [G.encode(i) for i in images], [G.histograms(i) for i in images]
+    calls = []
+    for name in ("lzw_pack", "_decode_single"):
+        monkeypatch.setattr(G, name, lambda *a, f=getattr(G, name), name=name: calls.append(name) or f(*a))
+    assert G.encode_all(images) == files
+    assert G.decode_all(files) == images
+    assert calls == ["lzw_pack", "_decode_single"]
+    assert [h.tolist() for h in G.histograms_all(images)] == seen
+    texts = {i: "ab é" * rnd.randrange(400) for i in range(30)} | {30: None, 31: "x" * 70_000}
+    monkeypatch.undo()
+    for r in G.store(make(*texts.items())).collect():
+        own = G.image_of(G.payload_of(texts[r.doc_id])[0])
+        assert (r.n_bytes, bytes(r.gif)) == (len((texts[r.doc_id] or "").encode()), G.encode(own))
+        assert [(f.at_cs, f.delay_cs, f.histogram) for f in r.frames] == [(4 * k, 4, h) for k, h in enumerate(G.histograms(own))]
+
+
 def test_declared_sizes_are_bounded(spark):
     import struct
 
