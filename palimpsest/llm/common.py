@@ -10,6 +10,7 @@ import tempfile
 import uuid
 from array import array
 from collections.abc import Callable, Iterable, Iterator
+from string import ascii_letters
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -205,6 +206,13 @@ def _is_latin(text: str) -> bool:
     return (not left and "\u0130" not in text) or not _BEYOND.search(text)
 
 
+def _is_latin1(text: str) -> bool:
+    try:
+        return text.isascii() or bool(text.encode("latin-1"))
+    except UnicodeEncodeError:
+        return False
+
+
 #: Chunks in a generation of an encoder's table: 40 MB or so, and each executor has a worker per core.
 ID_CHUNKS = 200_000
 
@@ -218,6 +226,10 @@ class IdEncoder:
     as both vocabularies do. ``spaces=False`` is for a vocabulary that drops white space: chunks are
     then the bare words. Texts with any other space character, or
     with the string of a special token, are encoded whole.
+
+    Where case plays no part in a vocabulary, text of Latin-1 is taken in lower case, so a word is encoded once
+    for all its cases. Words of ASCII letters go straight to the model, as the steps before it do no more than put
+    one character for each; what they put is asked of them.
     """
 
     def __init__(self, path: str, spaces: bool):
@@ -231,13 +243,23 @@ class IdEncoder:
         for token, i in vocab.items():
             self.parts[i] = len(token) if spaces else token.endswith("</w>")
         self.plain = re.compile((" " if spaces else "") + _LETTERS + "+").fullmatch
+        normal = self.tok.normalizer.normalize_str if self.tok.normalizer else str
+        self.folds = all(normal(c) == normal(c.lower()) for c in map(chr, range(256)))
+        word = (" " if spaces else "") + ascii_letters
+        seen = self.tok.pre_tokenizer.pre_tokenize_str(normal(word)) if self.tok.pre_tokenizer else []
+        self.seen = str.maketrans(word, seen[0][0]) if len(seen) == 1 and len(seen[0][0]) == len(word) else None
         self.table = ChunkTable(self._encode, ID_CHUNKS)
 
     def _encode(self, chunks: list[str]) -> list[bytes]:
-        """Ids of each chunk. Plain words, which are most chunks, are encoded a thousand in a text, as
-        that keeps them apart just as well, and cut by what their tokens stand for."""
-        plain = [i for i, c in enumerate(chunks) if self.plain(c)]
+        """Ids of each chunk. Words of ASCII letters, which are most chunks, are given to the model; other plain words are
+        encoded a thousand in a text, as that keeps them apart just as well, and cut by what their tokens stand for."""
         out: list = [None] * len(chunks)
+        plain = [i for i, c in enumerate(chunks) if self.plain(c)]
+        if self.seen:
+            bare = [i for i in plain if chunks[i].isascii()]
+            for i, ids in zip(bare, self._encode_bare([chunks[i] for i in bare]), strict=True):
+                out[i] = ids
+            plain = [i for i in plain if out[i] is None]
         for k in range(0, len(plain), 1000):
             part = plain[k : k + 1000]
             for i, ids in zip(part, self._encode_joined([chunks[i] for i in part]), strict=True):
@@ -247,6 +269,16 @@ class IdEncoder:
             out[i] = ids
         return out
 
+    def _encode_bare(self, words: list[str]) -> list[bytes]:
+        import numpy as np
+
+        tokenize, ids, ends = self.tok.model.tokenize, [], []
+        for w in words:
+            ids += [t.id for t in tokenize(w.translate(self.seen))]
+            ends.append(4 * len(ids))
+        data = np.array(ids, dtype="<u4").tobytes()
+        return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
     def _encode_joined(self, words: list[str]) -> list[bytes]:
         import numpy as np
 
@@ -275,6 +307,8 @@ class IdEncoder:
         """The chunks of a text; none if it is to be encoded whole."""
         if any(s in text for s in self.special):
             return None
+        if self.folds and _is_latin1(text):
+            text = text.lower()
         if _is_latin(text):
             return (_LATIN if self.spaces else _LATIN_WORDS).findall(text)
         if ODD_SPACE.search(text):

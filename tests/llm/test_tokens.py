@@ -59,6 +59,45 @@ def test_letters_beyond_latin_extended(name, spaces):
         assert got == encoder._encode_each([t])[0], t
 
 
+def library(tok, text):
+    return b"".join(i.to_bytes(4, "little") for i in tok.encode(text, add_special_tokens=False).ids)
+
+
+@pytest.mark.parametrize("name, spaces", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_plain_words_go_to_the_model_once_for_all_cases(name, spaces, monkeypatch):
+    """Words of ASCII letters need no pass through the whole library, and cases of a word are one chunk where case plays no part."""
+    from tokenizers import Tokenizer
+
+    tok, rnd = Tokenizer.from_file(P.path(name)), random.Random(11)
+    encoder = common.IdEncoder(P.path(name), spaces)
+    words = ["".join(rnd.choice("etaoinshrdlucmfwypvbgkjqxz") for _ in range(rnd.randint(1, 12))) for _ in range(300)] + ["x" * 3000]
+    words += [f(w) for w in words for f in (str.upper, str.title)]
+    rnd.shuffle(words)
+    text = "A" + "".join(f" {w}" for w in words)
+    with monkeypatch.context() as m:
+        for way in ("_encode_joined", "_encode_each"):
+            m.setattr(encoder, way, lambda x: [] if not x else 1 / 0)
+        if spaces:
+            text = text[1:]
+        (got,) = encoder([text])
+    assert got == library(tok, text)
+    assert len(encoder.table.known) == len({w if spaces else w.lower() for w in text.split()})
+
+
+@pytest.mark.parametrize("name, spaces", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_cases_of_letters_in_and_beyond_latin_1(name, spaces):
+    """Cases that leave Latin-1 or the letters told apart here (İ, Ⱥ, Ʉ, Ɓ), that have no other case or two letters for it (ß, ŉ), and the Kelvin sign."""
+    from tokenizers import Tokenizer
+
+    tok, rnd = Tokenizer.from_file(P.path(name)), random.Random(12)
+    encoder = common.IdEncoder(P.path(name), spaces)
+    latin1 = [chr(c) for c in range(256)]
+    pools = (latin1, [c for c in latin1 if c.isalpha()], list("aBcÉéÑßÿÞ .,-"), list("aBÉß İȺɄɁŉǅƁǰK"), list("ABC'S'T 'Re"))
+    ts = [c for c in latin1] + ["".join(rnd.choice(pool) for _ in range(rnd.randint(1, 20))) for pool in pools for _ in range(400)]
+    for t, got in zip(ts, encoder(ts), strict=True):
+        assert got == library(tok, t), repr(t)
+
+
 def test_sentencepiece_query(spark, sf, make):
     import sentencepiece
 
